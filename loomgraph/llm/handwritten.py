@@ -5,7 +5,7 @@ reads bodies (comments masked), one the comments at the head of a file, one tell
 libraries. They are fitted on a bounded sample of weakly labelled rows (``SAMPLE_ROWS`` expected rows, all
 of known_libs); the marks that gave a row its label are masked, so that what else such files have in common
 is learned. A fifth of the repositories is held out: never fitted on, they tell recall. Each
-threshold lies below every labelled score, by their standard deviation. An exact check then confirms each
+threshold lies below every labelled score by ``MARGIN``. An exact check then confirms each
 proposed file: a notice, a place, a copy's shared shingles, or a body of literals, packed or repeated
 lines.
 
@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 DIMS = 1 << 16
 GRAMS = (3, 5)
 SAMPLE_ROWS = 4000
+MARGIN = {"body": 0.75, "notice": 1.5, "copy": 0.75}
 #: known_libs is broadcast as hashed shingles; a larger table is refused.
 MOST_LIBRARY_CHARS = 20_000_000
 SHINGLE_WORDS = 5
@@ -151,6 +152,13 @@ def places(path: str) -> list[int]:
     return [_stable("path:" + re.sub(r"[\d]+", "0", p)) % DIMS for p in parts[:-1]] + [_stable("file:" + x) % DIMS for x in re.findall(r"[.-][a-z]+", parts[-1] if parts else "")]
 
 
+def layout(body: str) -> list[int]:
+    """The numbers of a body's line length (by doubling) and share of white space (by twentieths)."""
+    lines = body.count("\n") + 1
+    blank = sum(map(body.count, " \n\t"))
+    return [_stable(f"line:{int(np.log2(len(body) / lines + 1))}") % DIMS, _stable(f"blank:{20 * blank // max(1, len(body))}") % DIMS]
+
+
 @dataclass
 class Model:
     """Weights of the three classifiers (text and path), their thresholds and how they did on held-out repositories."""
@@ -249,7 +257,7 @@ def train(contexts: DataFrame, known_libs: DataFrame, rows: int = SAMPLE_ROWS) -
     labels = {"body": shaped | place, "notice": marked, "copy": copies}
     split = lambda texts: np.split(*(lambda i, s: (i, s[1:-1]))(*grams(list(texts)))) if texts else []
     body_rows, head_rows, lib_rows = split(bodies), split(heads), split([masked(x)[0] for x in libs])
-    routes = [places(p) for p in paths]
+    routes = [places(p) + layout(b) for p, b in zip(paths, bodies)]
     text, route, least, report = [], [], [], []
     for name, y in labels.items():
         x = head_rows if name == "notice" else body_rows
@@ -262,8 +270,8 @@ def train(contexts: DataFrame, known_libs: DataFrame, rows: int = SAMPLE_ROWS) -
         w, v = _fit(xs, rs, ys) if len(set(ys.tolist())) == 2 else (np.zeros(DIMS), np.zeros(DIMS))
         s = np.array([w[i].sum() / max(1, len(i)) ** 0.5 + (v[r].sum() if name != "copy" else 0) for i, r in zip(x, routes)]) if len(x) else np.zeros(0)
         test = held & y
-        # below every labelled score by their deviation: the exact check that follows makes a wide net cheap
-        bound = min(0.0, float(s[y].min() - max(0.5, s[y].std()))) if y.any() else -1e9
+        # below every labelled score by a margin: the exact check that follows makes a wide net cheap
+        bound = min(0.0, float(s[y].min())) - MARGIN[name] if y.any() else -1e9
         picked = held & (s >= bound)
         report.append((name, int(test.sum()), int((held & ~y).sum()), float((s[test] >= bound).mean()) if test.any() else 1.0, float(picked.sum() / max(1, held.sum()))))
         text.append(w)
@@ -287,7 +295,7 @@ def judge(contexts: DataFrame, known_libs: DataFrame, model: Model) -> DataFrame
             bodies = [c[0] for c in cut]
             scores = np.stack([score(bodies, text[0]), score([c[1] for c in cut], text[1]), score(bodies, text[2])])
             for k, p in enumerate(ps):
-                at = places(p)
+                at = places(p) + layout(bodies[k])
                 scores[0, k] += path[0][at].sum()
                 scores[1, k] += path[1][at].sum()
             reasons = []
