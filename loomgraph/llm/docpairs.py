@@ -80,7 +80,7 @@ def lines(tokens: DataFrame) -> DataFrame:
     comment = F.when(py, head == "#").otherwise(token.startswith("//") | token.startswith("/*"))
     kind = (
         F.when(head.isin("\n", "\r"), "n").when(comment, "c").when(py & token.rlike(r"""^[rRuUbBfFtT]{0,2}["']"""), "s")
-        .when(bare == "", "b").when(bare.startswith("@") & ~bare.rlike(r"[@\w.)\s](?:def|class|async|function)\b"), "d").otherwise("x")
+        .when(bare == "", "b").when(bare.rlike(r"^@\s*[\w.$]+\s*$"), "d").otherwise("x")
     )
     flat = tokens.select(
         "file_path", "py", "place", kind.alias("kind"), F.length("token").alias("size"),

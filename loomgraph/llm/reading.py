@@ -14,8 +14,8 @@ Documents are shuffled once, by id; words are exploded, ranked and gathered wher
 sentence, then a document.
 
 Cases: a null text or one without a sentence of prose (three words outside code, tables, traces and links)
-has a null band. Ties go to the lower band. Repeated texts are levelled each for itself; rows with one id are
-read as one document. Very long texts are read whole; a text without full stops is one sentence. German
+has a null band. Ties go to the lower band. Repeated texts are levelled each for itself; of rows that
+share an id the greatest text is read. Very long texts are read whole; a text without full stops is one sentence. German
 texts are measured with the same English scale, as ``lang`` tells.
 """
 
@@ -89,7 +89,7 @@ def banded(measured: DataFrame, likelihood: list[list[list[float]]]) -> DataFram
 
 def levels(documents: DataFrame, samples: DataFrame, reference_lang: str = "en") -> DataFrame:
     """``doc_id, lang, band, coverage_rank, n_words, share_1..share_4`` of every document."""
-    own = documents.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull()).repartition("doc_id")
+    own = documents.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("text").alias("text"), F.max("lang").alias("lang"))
     read = sentences(own, "doc_id", "text")
     of_language = sentences(documents.filter(F.col("lang") == reference_lang), "doc_id", "text")
     ranked = vocabulary(of_language.select(F.explode("words").alias("word")))
@@ -106,4 +106,4 @@ def levels(documents: DataFrame, samples: DataFrame, reference_lang: str = "en")
         F.element_at(F.array_sort("ranks"), F.ceil(F.lit(DOCUMENT_SHARE) * F.size("ranks")).cast("int")).alias("coverage_rank"),
         *[F.round(F.col(f"w{b}") / F.col("n_words"), 4).alias(f"share_{b}") for b in BANDS],
     )
-    return own.groupBy("doc_id").agg(F.max("lang").alias("lang")).join(each, "doc_id", "left")
+    return own.select("doc_id", "lang").join(each, "doc_id", "left")
