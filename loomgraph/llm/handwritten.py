@@ -39,9 +39,12 @@ SHINGLE_WORDS = 5
 COPY_SHARE = 0.7
 
 HEAD = re.compile(r"\A﻿?(?:\s*(?:#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''))*")
-COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|^[ \t]*#[^\n]*|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''", re.M)
+#: Strings come first, so what looks like a comment in one stays.
+STRING_OR_COMMENT = re.compile(r"(\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|/\*[\s\S]*?\*/|//[^\n]*|^[ \t]*#[^\n]*)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.M)
 LITERAL = re.compile(r"[bru]?\"(?:[^\"\\\n]|\\.)*\"|[bru]?'(?:[^'\\\n]|\\.)*'|\b0x[0-9a-fA-F]+\b|-?\b\d[\w.]*|[\[\],{}:()\s]|\b(?:true|false|null|None|True|False)\b")
 STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
+#: A pattern of many alternatives is one long line of a file, not data or packed code.
+PATTERN = re.compile(r"[rR]?\"(?:[^\"\\\n]|\\.)*\"|[rR]?'(?:[^'\\\n]|\\.)*'|/(?![*/])(?:[^/\\\n]|\\.)+/")
 NUMBERED = re.compile(r"\w*\d\w*")
 WORD = re.compile(r"\w+")
 
@@ -64,6 +67,11 @@ PACKED_NAME = re.compile(r"[.-]min\.js$|\.bundle\.js$")
 RESULT = T.StructType([T.StructField("body", T.FloatType()), T.StructField("notice", T.FloatType()), T.StructField("copy", T.FloatType()), T.StructField("reason", T.StringType())])
 
 
+def code_of(source: str, by: str = "") -> str:
+    """The source with ``by`` for its comments."""
+    return STRING_OR_COMMENT.sub(lambda m: by if m[1] is not None else m[0], source)
+
+
 def head(source: str) -> str:
     return HEAD.match(source)[0]
 
@@ -83,12 +91,15 @@ def notice(source: str) -> str | None:
 
 def shape(source: str) -> str | None:
     """data, minified or generated, if the body is mainly literals, packed long lines, or lines repeated up to numbered names."""
-    body = COMMENT.sub("", source)
+    body = PATTERN.sub(lambda m: '""' if m[0].count("|") >= 8 and len(m[0]) > 100 else m[0], code_of(source))
     size = len(body)
-    if size < 600:
+    if size < 150:
         return None
-    if 1 - len(LITERAL.sub("", body)) / size > 0.85:
+    literal = 1 - len(LITERAL.sub("", body)) / size
+    if literal > (0.85 if size >= 600 else 0.95):
         return "data"
+    if size < 600:
+        return None
     rows = [x for x in body.split("\n") if x.strip()]
     packed = sum(len(x) for x in rows if len(x) > 200)
     longest = max((len(x) for x in rows), default=0)
@@ -102,7 +113,7 @@ def shape(source: str) -> str | None:
 
 def shingles(source: str) -> np.ndarray:
     """Hashes of all runs of five words of the code, comments left out."""
-    words = WORD.findall(COMMENT.sub(" ", source))
+    words = WORD.findall(code_of(source, " "))
     if len(words) < SHINGLE_WORDS:
         return np.empty(0, np.uint64)
     ids = np.fromiter((_stable(w) for w in words), np.uint64, len(words))
@@ -194,7 +205,7 @@ def _fit(rows: list[np.ndarray], extra: list[list[int]], y: np.ndarray, epochs:
 
 def masked(source: str) -> tuple[str, str]:
     """The body without comments, and the head without the marks that labels come from."""
-    return COMMENT.sub(" ", source), VENDORED.sub(" ", MADE.sub(" ", head(source)))
+    return code_of(source, " "), VENDORED.sub(" ", MADE.sub(" ", head(source)))
 
 
 def score(texts: list[str], weights: np.ndarray) -> np.ndarray:
@@ -216,7 +227,7 @@ def library_shingles(known_libs: DataFrame) -> list[np.ndarray]:
 def copied(source: str, libraries: dict[int, np.ndarray] | list[np.ndarray], table: tuple[np.ndarray, np.ndarray]) -> float:
     """The largest share of the file's shingles that one library file holds."""
     own = shingles(source)
-    if len(own) < 8:
+    if len(own) < 20:
         return 0.0
     at = np.searchsorted(table[0], own)
     at[at == len(table[0])] = 0
