@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 
 DIMS = 1 << 16
 GRAMS = (3, 5)
+CHUNK = 1 << 20
 SAMPLE_ROWS = 4000
-MARGIN = {"body": 0.75, "notice": 1.5, "copy": 0.75}
+MARGIN = {"body": 0.75, "notice": 1.5, "copy": 0.4}
 #: known_libs is broadcast as hashed shingles; a larger table is refused.
 MOST_LIBRARY_CHARS = 20_000_000
 SHINGLE_WORDS = 5
@@ -39,6 +40,7 @@ SHINGLE_WORDS = 5
 COPY_SHARE = 0.7
 
 HEAD = re.compile(r"\A﻿?(?:\s*(?:#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''))*")
+COMMENT = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|/\*[\s\S]*?\*/|//[^\n]*|^[ \t]*#[^\n]*", re.M)
 #: Strings come first, so what looks like a comment in one stays.
 STRING_OR_COMMENT = re.compile(r"(\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|/\*[\s\S]*?\*/|//[^\n]*|^[ \t]*#[^\n]*)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.M)
 LITERAL = re.compile(r"[bru]?\"(?:[^\"\\\n]|\\.)*\"|[bru]?'(?:[^'\\\n]|\\.)*'|\b0x[0-9a-fA-F]+\b|-?\b\d[\w.]*|[\[\],{}:()\s]|\b(?:true|false|null|None|True|False)\b")
@@ -138,23 +140,25 @@ def _stable(word: str) -> int:
     return out
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram numbers of all texts in a row, and where each text's begin."""
-    parts, starts, at = [], [], 0
-    encoded = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32) for t in texts]
-    for b in encoded:
-        starts.append(at)
-        for n in GRAMS:
-            if len(b) >= n:
-                h = np.zeros(len(b) - n + 1, np.uint32)
-                for k in range(n):
-                    h = h * np.uint32(0x01000193) + b[k : k + len(h)]
-                h ^= h >> np.uint32(15)
-                h *= np.uint32(0x85EBCA6B)
-                h ^= h >> np.uint32(13)
-                parts.append((h & np.uint32(DIMS - 1)).astype(np.int32))
-                at += len(h)
-    return (np.concatenate(parts) if parts else np.empty(0, np.int32)), np.array([*starts, at], np.int64)
+def _hashed(buffer: np.ndarray, n: int) -> np.ndarray:
+    """The number of the n-gram that begins at each byte."""
+    h = np.zeros(max(0, len(buffer) - n + 1), np.uint32)
+    for k in range(n):
+        h = h * np.uint32(0x01000193) + buffer[k : k + len(h)]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    return (h & np.uint32(DIMS - 1)).astype(np.int32)
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def grams(text: str) -> np.ndarray:
+    """The n-gram numbers of a text."""
+    b = np.frombuffer(_bytes(text), np.uint8).astype(np.uint32)
+    return np.concatenate([_hashed(b, n) for n in GRAMS])
 
 
 def places(path: str) -> list[int]:
@@ -205,15 +209,32 @@ def _fit(rows: list[np.ndarray], extra: list[list[int]], y: np.ndarray, epochs:
 
 def masked(source: str) -> tuple[str, str]:
     """The body without comments, and the head without the marks that labels come from."""
-    return code_of(source, " "), VENDORED.sub(" ", MADE.sub(" ", head(source)))
+    return COMMENT.sub(" ", source), VENDORED.sub(" ", MADE.sub(" ", head(source)))
 
 
 def score(texts: list[str], weights: np.ndarray) -> np.ndarray:
-    index, starts = grams(texts)
-    sums = np.zeros(len(texts) + 1)
-    picked = np.concatenate([[0.0], np.cumsum(weights[index], dtype=np.float64)])
-    sums = picked[starts[1:]] - picked[starts[:-1]]
-    return sums / np.sqrt(np.maximum(1, starts[1:] - starts[:-1]))
+    """The weights of each text's n-grams, summed and divided by the root of their number; about a megabyte is hashed at once."""
+    out = np.zeros(len(texts))
+    first = 0
+    while first < len(texts):
+        parts, size, last = [], 0, first
+        while last < len(texts) and (last == first or size < CHUNK):
+            parts.append(_bytes(texts[last]))
+            size += len(parts[-1])
+            last += 1
+        b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+        sizes = np.array([len(x) for x in parts])
+        ends = np.cumsum(sizes)
+        sums, counts = np.zeros(len(parts)), np.zeros(len(parts))
+        for n in GRAMS:
+            # an n-gram belongs to the text that holds all of it
+            total = np.concatenate([[0.0], np.cumsum(weights[_hashed(b, n)], dtype=np.float64)])
+            begin, end = ends - sizes, np.maximum(ends - sizes, ends - n + 1)
+            sums += total[np.minimum(end, len(total) - 1)] - total[np.minimum(begin, len(total) - 1)]
+            counts += end - begin
+        out[first:last] = sums / np.sqrt(np.maximum(1, counts))
+        first = last
+    return out
 
 
 def library_shingles(known_libs: DataFrame) -> list[np.ndarray]:
@@ -266,8 +287,7 @@ def train(contexts: DataFrame, known_libs: DataFrame, rows: int = SAMPLE_ROWS) -
     marked = np.array([m is not None for m in marks], bool)
     shaped = np.array([s is not None for s in shapes], bool)
     labels = {"body": shaped | place, "notice": marked, "copy": copies}
-    split = lambda texts: np.split(*(lambda i, s: (i, s[1:-1]))(*grams(list(texts)))) if texts else []
-    body_rows, head_rows, lib_rows = split(bodies), split(heads), split([masked(x)[0] for x in libs])
+    body_rows, head_rows, lib_rows = [list(map(grams, x)) for x in (bodies, heads, [masked(x)[0] for x in libs])]
     routes = [places(p) + layout(b) for p, b in zip(paths, bodies)]
     text, route, least, report = [], [], [], []
     for name, y in labels.items():
