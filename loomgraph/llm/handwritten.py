@@ -32,6 +32,8 @@ DIMS = 1 << 16
 GRAMS = (3, 5)
 CHUNK = 1 << 20
 SAMPLE_ROWS = 4000
+#: Expected characters of the sample at most, so that long files don't fill the driver.
+SAMPLE_CHARS = 40_000_000
 MARGIN = {"body": 0.75, "notice": 1.5, "copy": 0.4}
 #: known_libs is broadcast as hashed shingles; a larger table is refused.
 MOST_LIBRARY_CHARS = 20_000_000
@@ -270,9 +272,9 @@ def shingle_table(libraries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(contexts: DataFrame, known_libs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fits the classifiers on about ``rows`` contexts chosen by the hash of their path."""
-    n = contexts.count()
-    share = min(1.0, rows / max(1, n))
+    """Fits the classifiers on about ``rows`` contexts (and ``SAMPLE_CHARS`` characters) chosen by the hash of their path."""
+    size = contexts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("source")).alias("chars")).first()
+    share = min(1.0, rows / max(1, size["n"]), SAMPLE_CHARS / max(1, size["chars"] or 0))
     chosen = F.pmod(F.xxhash64("file_path"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)
     sample = contexts.filter(F.col("source").isNotNull() & F.col("file_path").isNotNull() & chosen).select("file_path", "source").distinct().toPandas().sort_values(["file_path", "source"])
     libs = [r[0] for r in known_libs.filter(F.col("source").isNotNull()).select("source").collect()]
