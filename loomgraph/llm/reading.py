@@ -33,15 +33,22 @@ BANDS = (1, 2, 3, 4)
 DOCUMENT_SHARE = 0.8
 LEAST_WORDS = 3
 
-_NOT_PROSE = [(r"(?s)```.*?(?:```|\z)", "\n\n"), (r"https?://\S+|`[^`\n]*`", " "), (r"(?m)^[ \t]*(?:\||\$ |#|at |File \"|Traceback| {4}|\t).*$", "")]
-SENTENCE_END = r"[.!?:;]+(?:\s+|$)|\n\s*\n|\n\s*[-*>]"
+# What is no prose: a pattern, what replaces it, and strings of which one must be there for it to match (a search for them is far cheaper).
+_NOT_PROSE = [
+    (r"(?s)```.*?(?:```|\z)", "\n\n", ["```"]),
+    (r"https?://\S+|`[^`\n]*`", " ", ["`", "://"]),
+    (r"(?m)^[ \t]*(?:\||\$ |#|at |File \"|Traceback| {4}|\t).*$", "", ["|", "$ ", "#", "at ", 'File "', "Traceback", "    ", "\t"]),
+]
+SENTENCE_END = r"(?=[.!?:;\n])(?:[.!?:;]++(?:\s+|$)|\n\s*\n|\n\s*[-*>])"
 
 
 def sentences(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``id, sentence, words`` of the prose of each text."""
-    prose = reduce(lambda c, rule: F.regexp_replace(c, *rule), _NOT_PROSE, F.col(text_column))
+    prose = F.col(text_column)
+    for pattern, by, signs in _NOT_PROSE:
+        prose = F.when(reduce(lambda a, b: a | b, [F.col(text_column).contains(s) for s in signs]), F.regexp_replace(prose, pattern, by)).otherwise(prose)
     found = F.filter(
-        F.transform(F.split(prose, SENTENCE_END), lambda s: F.regexp_extract_all(F.lower(s), F.lit(r"[a-zäöüß]+(?:'[a-z]+)?"), F.lit(0))),
+        F.transform(F.split(F.lower(prose), SENTENCE_END), lambda s: F.regexp_extract_all(s, F.lit(r"[a-zäöüß]++(?:'[a-z]++)?"), F.lit(0))),
         lambda w: F.size(w) >= LEAST_WORDS,
     )
     return documents.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.posexplode(found).alias("sentence", "words"))
