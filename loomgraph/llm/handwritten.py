@@ -1,8 +1,8 @@
 """Files that nobody wrote by hand (problem 1): generated, minified, vendored, or data kept as code.
 
 Three linear support-vector classifiers on hashed character n-grams and path components propose files: one
-reads bodies (comments masked), one the comments at the head of a file, one tells copies of known
-libraries. They are fitted on a bounded sample of weakly labelled rows (``SAMPLE_ROWS`` expected rows, all
+reads bodies (comments masked), one the comments on the file (at its head, its end or alone between), one tells
+copies of known libraries. They are fitted on a bounded sample of weakly labelled rows (``SAMPLE_ROWS`` expected rows, all
 of known_libs); the marks that gave a row its label are masked, so that what else such files have in common
 is learned. A fifth of the repositories is held out: never fitted on, they tell recall. Each
 threshold lies below every labelled score by ``MARGIN``. An exact check then confirms each
@@ -44,15 +44,24 @@ COPY_SHARE = 0.7
 HEAD = re.compile(r"\A﻿?(?:\s*(?:#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''))*")
 COMMENT = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|/\*[\s\S]*?\*/|//[^\n]*|^[ \t]*#[^\n]*", re.M)
 #: Strings come first, so what looks like a comment in one stays.
-STRING_OR_COMMENT = re.compile(r"(\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|/\*[\s\S]*?\*/|//[^\n]*|^[ \t]*#[^\n]*)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.M)
-LITERAL = re.compile(r"[bru]?\"(?:[^\"\\\n]|\\.)*\"|[bru]?'(?:[^'\\\n]|\\.)*'|\b0x[0-9a-fA-F]+\b|-?\b\d[\w.]*|[\[\],{}:()\s]|\b(?:true|false|null|None|True|False)\b")
+STRING_OR_COMMENT = re.compile(r"(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|/\*[\s\S]*?\*/|//[^\n]*|^[ \t]*#[^\n]*)|(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')", re.M)
+LITERAL = re.compile(r"(?:[bru]?\"(?:[^\"\\\n]|\\.)*\"|[bru]?'(?:[^'\\\n]|\\.)*'|\b0x[0-9a-fA-F]+\b|-?\b\d[\w.]*|[\[\],{}:()\s]++|\b(?:true|false|null|None|True|False)\b)++")
 STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 #: A pattern of many alternatives is one long line of a file, not data or packed code.
 PATTERN = re.compile(r"[rR]?\"(?:[^\"\\\n]|\\.)*\"|[rR]?'(?:[^'\\\n]|\\.)*'|/(?![*/])(?:[^/\\\n]|\\.)+/")
+#: Comments (group 1), and what may hold the look of one: strings, templates, patterns.
+REMARK = re.compile(
+    r"(\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|/\*[\s\S]*?\*/|//[^\n]*|(?:^|(?<=[ \t]))#[^\n]*)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`|/(?![*/])(?:[^/\\\n]|\\.)+/", re.M
+)
+#: What comes after a comment that stands alone: a blank line or the end.
+_AFTER = r"[ \t\r]*(?:\Z|\n[ \t\r]*(?:\n|\Z))"
+ALONE = re.compile(_AFTER)
+#: What may be the end of one, found without telling strings from comments.
+MAYBE_ALONE = re.compile(r"(?:^(?:#|//)[^\n]*|\*/|\"\"\"|''')" + _AFTER, re.M)
 NUMBERED = re.compile(r"\w*\d\w*")
 WORD = re.compile(r"\w+")
 
-# How tools and vendors mark files; each is read in the comments at the head, outside quotes.
+# How tools and vendors mark files; each is read in the comments on the file (``remarks``), outside quotes.
 MADE = re.compile(
     r"(?im)@generated\b|\bcode generated\b.*\bdo not edit|\bauto(?:matically)?[- ]?(?:generated|written|created)\b(?=.*\b(?:file|by|on|from|code|do not)\b|\W*$)|<auto[- ]\w+>|\bmachine[- ](?:written|generated|made)\b"
     r"|\b(?:generated|produced|created|built|rebuilt|emitted|compiled|derived|written|made)\b[^.\n]*\b(?:automatically|from|by|out of|with)\b[^\n]*(?:[.;!(]|\brun\b)[^\n]*\b(?:edit\w*|chang\w+|modif\w+|refresh|regenerate|lost|overwritten|disappear\w*|checksum|rebuild)\b"
@@ -72,17 +81,43 @@ RESULT = T.StructType([T.StructField("body", T.FloatType()), T.StructField("noti
 
 
 def code_of(source: str, by: str = "") -> str:
-    """The source with ``by`` for its comments."""
-    return STRING_OR_COMMENT.sub(lambda m: by if m[1] is not None else m[0], source)
+    """The source without comments, ``by`` for each and after each string."""
+    return STRING_OR_COMMENT.sub(r"\1" + by, source)
 
 
 def head(source: str) -> str:
     return HEAD.match(source)[0]
 
 
+def remarks(source: str) -> str:
+    """The comments on the file: its head, and below it blocks at the start of a line that stand alone, as at the end. One right above code or in it is about that code."""
+    top = head(source)
+    if not MAYBE_ALONE.search(source, len(top)):
+        return top
+    out, block, end = [top], [], -1
+    for m in REMARK.finditer(source, len(top)):
+        if m[1] is None:
+            continue
+        at = m.start()
+        if block and source[end:at].strip():
+            block = []
+        if at and source[at - 1] != "\n":
+            continue
+        block.append(m[1])
+        end = m.end()
+        if ALONE.match(source, end):
+            out += block
+            block = []
+    return "\n".join(out)
+
+
 def notice(source: str) -> str | None:
-    """made or vendored, if the head says so of this file."""
-    for line in head(source).splitlines():
+    """made or vendored, if the comments on the file say so of it."""
+    return said(remarks(source))
+
+
+def said(comments: str) -> str | None:
+    for line in comments.splitlines():
         line = QUOTED.sub(" ", line) if line.count("`") < 2 else line
         if SPEAKS.search(line):
             continue
@@ -95,7 +130,9 @@ def notice(source: str) -> str | None:
 
 def shape(source: str) -> str | None:
     """data, minified or generated, if the body is mainly literals, packed long lines, or lines repeated up to numbered names."""
-    body = PATTERN.sub(lambda m: '""' if m[0].count("|") >= 8 and len(m[0]) > 100 else m[0], code_of(source))
+    body = code_of(source)
+    if body.count("|") >= 8:
+        body = PATTERN.sub(lambda m: '""' if m[0].count("|") >= 8 and len(m[0]) > 100 else m[0], body)
     size = len(body)
     if size < 150:
         return None
@@ -209,9 +246,9 @@ def _fit(rows: list[np.ndarray], extra: list[list[int]], y: np.ndarray, epochs:
     return mw / n, mv / n
 
 
-def masked(source: str) -> tuple[str, str]:
-    """The body without comments, and the head without the marks that labels come from."""
-    return COMMENT.sub(" ", source), VENDORED.sub(" ", MADE.sub(" ", head(source)))
+def masked(source: str, comments: str | None = None) -> tuple[str, str]:
+    """The body without comments, and the comments on the file without the marks that labels come from."""
+    return COMMENT.sub(" ", source), VENDORED.sub(" ", MADE.sub(" ", remarks(source) if comments is None else comments))
 
 
 def score(texts: list[str], weights: np.ndarray) -> np.ndarray:
@@ -324,7 +361,8 @@ def judge(contexts: DataFrame, known_libs: DataFrame, model: Model) -> DataFrame
         for paths, sources in parts:
             known = [p is not None and s is not None for p, s in zip(paths, sources)]
             ps, ss = [p or "" for p in paths], [s or "" for s in sources]
-            cut = [masked(s) for s in ss]
+            own = [remarks(s) for s in ss]
+            cut = [masked(s, o) for s, o in zip(ss, own)]
             bodies = [c[0] for c in cut]
             scores = np.stack([score(bodies, text[0]), score([c[1] for c in cut], text[1]), score(bodies, text[2])])
             for k, p in enumerate(ps):
@@ -338,7 +376,7 @@ def judge(contexts: DataFrame, known_libs: DataFrame, model: Model) -> DataFrame
                     if scores[0, k] >= least[0]:
                         why = "vendored" if PLACE.search(p) else shape(s)
                     if why is None and scores[1, k] >= least[1]:
-                        why = notice(s)
+                        why = said(own[k])
                     if why is None and scores[2, k] >= least[2] and copied(s, [], table) >= COPY_SHARE:
                         why = "vendored"
                 reasons.append(why)

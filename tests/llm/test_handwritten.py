@@ -17,6 +17,23 @@ def test_notices(text, why):
     assert H.notice(text + BODY) == why
 
 
+@pytest.mark.parametrize("text, why", [
+    (BODY + "\n// Code generated by tool. DO NOT EDIT.\n", "generated"), (BODY + "\n\n/**\n * @generated by x 1.2\n */", "generated"), ("import os\r\nx = os.y\r\n\r\n# <auto-written>\r\n", "generated"),
+    ("import a from 'a';\n\n// Bundled copy of lib 1.2.\n// See its page.\n\n" + BODY, "vendored"), ("const q = /['`]/;\n// it's `one`\n" + BODY + "\n// producer: tool 1.2\n", "generated"),
+    (BODY + "\n// Do not modify.\nconst t = 1;\n", None), ("def f():\n    return 1\n    # Never change it.\n", None), (BODY + "\nconst h = `\n// Code generated by tool. DO NOT EDIT.\n\n`;\n", None),
+    ('x = """\n# AUTO-GENERATED FILE\n\n"""\n', None), (BODY + "\n// Files with '@generated' are skipped.\n", None),
+])
+def test_notices_below_the_head(text, why):
+    assert H.notice(text) == why
+
+
+def test_a_notice_at_the_end_is_found(spark):
+    c, k = tables(spark)
+    source = c.filter("context_id = 7").first()["source"] + "\n\n// Code generated by t. DO NOT EDIT.\n"
+    c = c.union(spark.createDataFrame([(950, "/ws/r1/packages/p/src/e1.ts", source, 1)], c.schema))
+    assert {r["context_id"]: r["reason"] for r in H.not_by_hand(c, k).collect()}.get(950) == "generated"
+
+
 def test_shapes():
     rng = random.Random(1)
     assert H.shape("export const x = [" + ", ".join(hex(rng.randrange(256)) for _ in range(400)) + "];\n") == "data"
