@@ -170,17 +170,17 @@ def _small_components(edges: DataFrame) -> DataFrame:
     return edges.repartition(1).mapInPandas(run, schema)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, small: int | None = None) -> DataFrame:
     """``id, cycle`` of the nodes on cycles: strongly connected components of two or more, named by their least node.
 
     Trimming, then colouring: every node takes the least node that reaches it; of a colour's nodes, those that
     reach that node back within the colour are a component. Components are removed and the rest is coloured anew,
-    until no more than ``SMALL_EDGES`` edges are left, which one task finishes.
+    until no more than ``small`` (``SMALL_EDGES``) edges are left, which one task finishes.
     """
     left = _trim(cut(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()))
     found: DataFrame | None = None
     while not left.isEmpty():
-        if left.count() <= SMALL_EDGES:
+        if left.count() <= (SMALL_EDGES if small is None else small):
             rest = _small_components(left)
             found = rest if found is None else found.unionByName(rest)
             break
@@ -258,13 +258,14 @@ def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rest if out is None else out.unionByName(rest)
 
 
-def shortest_lengths(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
-    """``src, dst, length`` of the asked pairs, up to ``most`` edges; a node reaches itself by 0."""
+def shortest_lengths(edges: DataFrame, pairs: DataFrame, most: int | None) -> DataFrame:
+    """``src, dst, length`` of the asked pairs, up to ``most`` edges if given; a node reaches itself by 0."""
     edges = cut(edges.select("src", "dst"))
     asked = pairs.select("src", "dst").distinct()
     seen = cut(asked.select("src").distinct().select("src", F.col("src").alias("at"), F.lit(0).alias("length")))
-    frontier = seen
-    for k in range(1, most + 1):
+    frontier, k = seen, 0
+    while most is None or k < most:
+        k += 1
         step = frontier.select(F.col("src").alias("origin"), "at").join(edges, F.col("at") == F.col("src")).select(F.col("origin").alias("src"), F.col("dst").alias("at")).distinct()
         frontier = cut(step.join(seen.select("src", "at"), ["src", "at"], "left_anti").withColumn("length", F.lit(k)))
         if frontier.isEmpty():

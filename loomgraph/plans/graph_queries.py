@@ -11,9 +11,11 @@ from loomgraph.operators import export, graph, relations, rules
 from loomgraph.sources.tables import cut, load
 
 
-def edges(spark: SparkSession, sf_dir: str, quantity: int, acyclic: bool = False, before: bool | None = None) -> DataFrame:
-    """``src, dst``: parts that follow each other in an order, both taken at least ``quantity`` times."""
-    items = load(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= quantity)
+def edges(spark: SparkSession, sf_dir: str, quantity: int | None, acyclic: bool = False, before: bool | None = None) -> DataFrame:
+    """``src, dst``: parts that follow each other in an order, both taken at least ``quantity`` times, if one is given."""
+    items = load(spark, sf_dir, "lineitem")
+    if quantity is not None:
+        items = items.filter(F.col("l_quantity") >= quantity)
     if before is not None:
         day = F.lit("1998-05-24").cast("timestamp_ntz")
         items = items.filter(F.col("l_shipdate") < day if before else F.col("l_shipdate") >= day)
