@@ -1,22 +1,24 @@
 """Reading level of each document, bands 1 (easy) to 4 (demanding) (problem 8), in Spark SQL.
 
-Words are ranked by frequency over all documents of the reference language. The coverage rank of a
+Words are ranked by frequency over all documents of each language; texts without a language use the list of
+the whole corpus. The coverage rank of a
 passage is the size of the smallest frequency-ranked vocabulary that holds a fixed share of its words: the
 rank of the word at that share. It is taken for each sentence at two shares, with the sentence's mean word
 length and its number of words as complexity; all four are put into buckets (ranks by doubling). How often
 each bucket occurs in sentences of each band is counted over the reference texts, and a sentence gets the
 band that explains its buckets best. A document's band is the one with most of its words.
 
-Only the ``RANKED`` most frequent words have a rank of their own: beyond, all ranks share the last bucket, so
-the result is that of an unbounded ranking, and the broadcast vocabulary never grows with the corpus.
+A bucket of ranks begins, in any list, where the reference language's list has covered as much of its words, so
+lists of unequal length share a scale. Every word has its own rank. Only the ``RANKED`` most frequent of a list are
+broadcast; if there are more, rarer words find theirs by a shuffle.
 
 Documents are shuffled once, by id; words are exploded, ranked and gathered where they are. A group is a
 sentence, then a document.
 
 Cases: a null text or one without a sentence of prose (three words outside code, tables, traces and links)
 has a null band. Ties go to the lower band. Repeated texts are levelled each for itself; of rows that
-share an id the greatest text is read. Very long texts are read whole; a text without full stops is one sentence. German
-texts are measured with the same English scale, as ``lang`` tells.
+share an id the greatest text is read. Very long texts are read whole; a text without full stops is one sentence. Word
+lengths and sentence lengths of any language are measured on the English scale.
 """
 
 from __future__ import annotations
@@ -26,12 +28,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.sources.tables import cut
+
 RANKED = 1 << 14
 SHARES = (0.5, 0.8)
 BANDS = (1, 2, 3, 4)
 #: Share of a document's words whose vocabulary size is reported.
 DOCUMENT_SHARE = 0.8
 LEAST_WORDS = 3
+#: The list of all documents.
+WHOLE = ""
+LAST = 14
 
 # What is no prose: a pattern, what replaces it, and strings of which one must be there for it to match (a search for them is far cheaper).
 _NOT_PROSE = [
@@ -42,8 +49,8 @@ _NOT_PROSE = [
 SENTENCE_END = r"(?=[.!?:;\n])(?:[.!?:;]++(?:\s+|$)|\n\s*\n|\n\s*[-*>])"
 
 
-def sentences(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``id, sentence, words`` of the prose of each text."""
+def sentences(documents: DataFrame, id_column: str, text_column: str, language: Column) -> DataFrame:
+    """``id, list, sentence, words`` of the prose of each text; ``list`` names the vocabulary, WHOLE if the language is null."""
     prose = F.col(text_column)
     for pattern, by, signs in _NOT_PROSE:
         prose = F.when(reduce(lambda a, b: a | b, [F.col(text_column).contains(s) for s in signs]), F.regexp_replace(prose, pattern, by)).otherwise(prose)
@@ -51,13 +58,23 @@ def sentences(documents: DataFrame, id_column: str, text_column: str) -> DataFra
         F.transform(F.split(F.lower(prose), SENTENCE_END), lambda s: F.regexp_extract_all(s, F.lit(r"[a-zäöüß]++(?:'[a-z]++)?"), F.lit(0))),
         lambda w: F.size(w) >= LEAST_WORDS,
     )
-    return documents.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.posexplode(found).alias("sentence", "words"))
+    return documents.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.coalesce(language, F.lit(WHOLE)).alias("list"), F.posexplode(found).alias("sentence", "words"))
 
 
-def vocabulary(words: DataFrame, most: int = RANKED) -> DataFrame:
-    """``word, rank`` of the ``most`` most frequent words; ties by the alphabet."""
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return top.select("word", F.row_number().over(Window.orderBy(F.desc("n"), "word")).alias("rank"))
+def vocabulary(sentences: DataFrame, reference: str) -> DataFrame:
+    """``list, word, rank, step`` of every word; ties by the alphabet. The step is the rank's bucket on the scale of the reference list."""
+    counts = sentences.select("list", F.explode("words").alias("word")).groupBy("list", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts)
+    whole = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(WHOLE).alias("list"), "word", "n")
+    by = Window.partitionBy("list").orderBy(F.desc("n"), "word")
+    ranked = counts.filter(F.col("list") != WHOLE).unionByName(whole).withColumn("rank", F.row_number().over(by))
+    before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = cut(ranked.withColumn("before", before / F.sum("n").over(Window.partitionBy("list"))))
+    # what share the reference list has covered before its rank 2**k; at most LAST + 1 rows
+    starts = ranked.filter((F.col("list") == reference) & F.col("rank").isin([1 << k for k in range(LAST + 1)])).orderBy("rank").select("before").collect()
+    own = F.least(F.lit(LAST), F.floor(F.log2("rank")))
+    mapped = reduce(lambda x, y: x + y, [F.when(F.col("before") >= r["before"], 1).otherwise(0) for r in starts]) - 1 if starts else own
+    return ranked.select("list", "word", F.col("rank").cast("long").alias("rank"), F.when(F.col("list") == reference, own).otherwise(mapped).cast("long").alias("step"))
 
 
 def _bucket(size: Column, last: int) -> Column:
@@ -65,14 +82,21 @@ def _bucket(size: Column, last: int) -> Column:
 
 
 def measures(sentences: DataFrame, ranked: DataFrame) -> DataFrame:
-    """``id, sentence, n_words, b0..b3``: the buckets of each sentence."""
-    words = sentences.select("id", "sentence", F.explode("words").alias("word"))
-    placed = words.join(F.broadcast(ranked), "word", "left").select("id", "sentence", F.length("word").alias("size"), F.coalesce("rank", F.lit(RANKED)).alias("rank"))
-    each = placed.groupBy("id", "sentence").agg(F.array_sort(F.collect_list("rank")).alias("ranks"), F.avg("size").alias("mean"), F.count(F.lit(1)).alias("n_words"))
-    at = [F.element_at("ranks", F.ceil(F.lit(s) * F.col("n_words")).cast("int")) for s in SHARES]
+    """``id, sentence, n_words, ranks, b0..b3``: the buckets of each sentence. ``ranks`` holds 16 times the rank plus its step."""
+    words = sentences.select("id", "list", "sentence", F.explode("words").alias("word"))
+    keyed = ranked.select("list", "word", (F.col("rank") * 16 + F.col("step")).alias("code"))
+    top = F.broadcast(keyed.filter(F.col("code") < 16 * (RANKED + 1)))
+    placed = words.join(top, ["list", "word"], "left")
+    rare = keyed.filter(F.col("code") >= 16 * (RANKED + 1))
+    if not rare.isEmpty():
+        placed = placed.filter(F.col("code").isNotNull()).unionByName(placed.filter(F.col("code").isNull()).drop("code").join(rare, ["list", "word"], "left"))
+    # words of no document, which only reference texts have, count as rarer than any
+    placed = placed.select("id", "sentence", F.length("word").alias("size"), F.coalesce("code", F.lit(16 * (1 << 40) + LAST)).alias("code"))
+    each = placed.groupBy("id", "sentence").agg(F.array_sort(F.collect_list("code")).alias("ranks"), F.avg("size").alias("mean"), F.count(F.lit(1)).alias("n_words"))
+    at = [F.element_at("ranks", F.ceil(F.lit(s) * F.col("n_words")).cast("int")) % 16 for s in SHARES]
     return each.select(
         "id", "sentence", "n_words", "ranks",
-        _bucket(F.log2(at[0]), 12).alias("b0"), _bucket(F.log2(at[1]), 14).alias("b1"), _bucket(F.col("mean") * 1.5, 9).alias("b2"), _bucket(F.col("n_words") / 5, 6).alias("b3"),
+        _bucket(at[0], 12).alias("b0"), _bucket(at[1], LAST).alias("b1"), _bucket(F.col("mean") * 1.5, 9).alias("b2"), _bucket(F.col("n_words") / 5, 6).alias("b3"),
     )
 
 
@@ -97,10 +121,9 @@ def banded(measured: DataFrame, likelihood: list[list[list[float]]]) -> DataFram
 def levels(documents: DataFrame, samples: DataFrame, reference_lang: str = "en") -> DataFrame:
     """``doc_id, lang, band, coverage_rank, n_words, share_1..share_4`` of every document."""
     own = documents.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("text").alias("text"), F.max("lang").alias("lang"))
-    read = sentences(own, "doc_id", "text")
-    of_language = sentences(documents.filter(F.col("lang") == reference_lang), "doc_id", "text")
-    ranked = vocabulary(of_language.select(F.explode("words").alias("word")))
-    reference = sentences(samples.filter(F.col("band").isin(*BANDS)), "sample_id", "text")
+    read = sentences(own, "doc_id", "text", F.col("lang"))
+    ranked = vocabulary(sentences(documents, "doc_id", "text", F.col("lang")), reference_lang)
+    reference = sentences(samples.filter(F.col("band").isin(*BANDS)), "sample_id", "text", F.lit(reference_lang))
     likelihood = calibrate(measures(reference, ranked).join(samples.select(F.col("sample_id").alias("id"), "band"), "id"))
     found = banded(measures(read, ranked), likelihood)
     total = F.sum("n_words")
@@ -110,7 +133,7 @@ def levels(documents: DataFrame, samples: DataFrame, reference_lang: str = "en")
     each = each.select(
         F.col("id").alias("doc_id"), "n_words",
         F.coalesce(*[F.when(F.col(f"w{b}") == most, F.lit(b)) for b in BANDS]).alias("band"),
-        F.element_at(F.array_sort("ranks"), F.ceil(F.lit(DOCUMENT_SHARE) * F.size("ranks")).cast("int")).alias("coverage_rank"),
+        F.floor(F.element_at(F.array_sort("ranks"), F.ceil(F.lit(DOCUMENT_SHARE) * F.size("ranks")).cast("int")) / 16).cast("int").alias("coverage_rank"),
         *[F.round(F.col(f"w{b}") / F.col("n_words"), 4).alias(f"share_{b}") for b in BANDS],
     )
     return own.select("doc_id", "lang").join(each, "doc_id", "left")

@@ -118,3 +118,14 @@ def test_levels(spark):
     assert got[103]["coverage_rank"] > got[3]["coverage_rank"] and abs(sum(got[203][f"share_{b}"] for b in BANDS) - 1) < 1e-3
     assert levels(d.limit(0), s).count() == 0
     assert len(got) == 40 + 6 + 6
+
+
+def test_each_language_has_its_list(spark, monkeypatch):
+    d, s = reading_tables(spark)
+    easy, hard = "der hund ist rot. die katze kann laufen.", "unbeschadet erkenntnistheoretischer erwägungen verbleibt gegenständliche vergleichbarkeit unbestimmt."
+    more = [(300 + k, easy, "de", 0) for k in range(30)] + [(400, hard, "de", 0), (401, easy, None, 0)]
+    d = d.union(spark.createDataFrame(more, d.schema))
+    got = {r["doc_id"]: r for r in levels(d, s).collect()}
+    assert got[300]["coverage_rank"] < got[400]["coverage_rank"] < 100 and got[401]["coverage_rank"] < 100
+    monkeypatch.setattr("loomgraph.llm.reading.RANKED", 4)
+    assert {r["doc_id"]: r for r in levels(d, s).collect()} == got
