@@ -5,7 +5,7 @@ reads bodies (comments masked), one the comments on the file (at its head, its e
 copies of known libraries. They are fitted on a bounded sample of weakly labelled rows (``SAMPLE_ROWS`` expected rows, all
 of known_libs); the marks that gave a row its label are masked, so that what else such files have in common
 is learned. A fifth of the repositories is held out: never fitted on, they tell recall. Each
-threshold lies below every labelled score by ``MARGIN``. An exact check then confirms each
+threshold lies below every labelled score by ``MARGIN``; for recall, below those of the fitted repositories. An exact check then confirms each
 proposed file: a notice, a place, a copy's shared shingles, or a body of literals, packed or repeated
 lines.
 
@@ -220,7 +220,7 @@ class Model:
     text: np.ndarray
     path: np.ndarray
     least: np.ndarray
-    report: list[tuple[str, int, int, float, float]]
+    report: list[tuple[str, int, int, float | None, float]]
 
 
 def _fit(rows: list[np.ndarray], extra: list[list[int]], y: np.ndarray, epochs: int = 6, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -341,12 +341,13 @@ def train(contexts: DataFrame, known_libs: DataFrame, rows: int = SAMPLE_ROWS) -
         s = np.array([w[i].sum() / max(1, len(i)) ** 0.5 + (v[r].sum() if name != "copy" else 0) for i, r in zip(x, routes)]) if len(x) else np.zeros(0)
         test = held & y
         # below every labelled score by a margin: the exact check that follows makes a wide net cheap
-        bound = min(0.0, float(s[y].min())) - MARGIN[name] if y.any() else -1e9
-        picked = held & (s >= bound)
-        report.append((name, int(test.sum()), int((held & ~y).sum()), float((s[test] >= bound).mean()) if test.any() else 1.0, float(picked.sum() / max(1, held.sum()))))
+        below = lambda of: min(0.0, float(s[of].min())) - MARGIN[name] if of.any() else -1e9  # noqa: B023, E731
+        # reported is how a threshold that knows the fitted repositories only does on the held-out ones
+        bound = below(~held & y)
+        report.append((name, int(test.sum()), int((held & ~y).sum()), float((s[test] >= bound).mean()) if test.any() else None, float((held & (s >= bound)).sum() / max(1, held.sum()))))
         text.append(w)
         route.append(v)
-        least.append(bound)
+        least.append(below(y))
     return Model(np.stack(text).astype(np.float32), np.stack(route).astype(np.float32), np.array(least), report)
 
 

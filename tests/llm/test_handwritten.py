@@ -78,3 +78,17 @@ def test_empty_tables(spark):
     c, k = tables(spark)
     assert H.not_by_hand(c.limit(0), k).count() == 0
     assert H.not_by_hand(c, k.limit(0)).count() == 12 + 9
+
+
+def test_recall_is_of_held_out_repositories(spark):
+    c, k = tables(spark)
+    out = lambda r: H._stable(f"repo:r{r}") % 5 == 0
+    fitted, held = next(r for r in range(99) if not out(r)), next(r for r in range(99) if out(r))
+    sources = [r["source"] for r in c.filter("context_id < 40").orderBy("context_id").collect()]
+    at = lambda n, r, source: (n, f"/ws/r{r}/packages/p/src/h{n}.ts", source, 1)
+    rows = [at(n, fitted, ("// Code generated by t. DO NOT EDIT.\n" if n % 2 else "// my own\n") + x) for n, x in enumerate(sources)]
+    alone = H.train(spark.createDataFrame(rows, c.schema), k)
+    assert [r[3] for r in alone.report] == [None, None, None]
+    rows.append(at(99, held, "// my own my own my own my own\n// Code generated by t. DO NOT EDIT.\n" + sources[0]))
+    report = H.train(spark.createDataFrame(rows, c.schema), k).report
+    assert report[1][1] == 1 and report[1][3] is not None and report[0][3] is report[2][3] is None
