@@ -1,16 +1,15 @@
 """Files that nobody wrote by hand (problem 1): generated, minified, vendored, or data kept as code.
 
-Three linear support-vector classifiers on hashed character n-grams and path components propose files: one
-reads bodies (comments masked), one the comments on the file (at its head, its end or alone between), one tells
-copies of known libraries. They are fitted on a bounded sample of weakly labelled rows (``SAMPLE_ROWS`` expected rows, all
-of known_libs); the marks that gave a row its label are masked, so that what else such files have in common
-is learned. A fifth of the repositories is held out: never fitted on, they tell recall. Each
-threshold lies below every labelled score by ``MARGIN``; for recall, below those of the fitted repositories. An exact check then confirms each
-proposed file: a notice, a place, a copy's shared shingles, or a body of literals, packed or repeated
-lines.
-
-Scoring is a pass over the rows in Arrow batches with no shuffle. Broadcast are the weights (3 x 2**16
-floats) and the shingles of known_libs, a fixed table of libraries whose size is checked.
+Three linear support-vector classifiers on hashed character n-grams propose files: one reads bodies (comments masked, so
+that no notice gives them away) with path components and line layout, one the clauses of the comments on the file (at its
+head, its end or alone between; digits masked), one tells copies of known libraries from longer n-grams of bodies. They are
+fitted on a bounded sample of weakly labelled rows (``SAMPLE_ROWS`` expected rows, all of known_libs, whole and in
+quarters). A fifth of the repositories is held out: neither weights nor thresholds know them, and they tell recall. A
+threshold lies ``MARGIN`` below every label of the fitted repositories. An exact check then confirms each proposed file: a
+notice, a place, a copy's shared shingles, or a body of literals, packed or repeated lines.
+
+Scoring is a pass over the rows in Arrow batches with no shuffle. Broadcast are the weights (4 x 2**16
+floats) and the shingles of known_libs, a fixed table of libraries whose size is checked before it is read.
 
 Cases: a null source or path is no case; empty files and files of white space are none. All versions of a
 file with a found version are found. Very long files are read whole. Other columns are ignored.
@@ -29,15 +28,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMS = 1 << 16
-GRAMS = (3, 5)
+#: Lengths of the n-grams by classifier: a copy is told by longer ones.
+GRAMS = {"body": (3, 5), "notice": (3, 5), "copy": (8, 12)}
 CHUNK = 1 << 20
 SAMPLE_ROWS = 4000
 #: Expected characters of the sample at most, so that long files don't fill the driver.
 SAMPLE_CHARS = 40_000_000
-MARGIN = {"body": 0.75, "notice": 1.5, "copy": 0.4}
+MARGIN = {"body": 0.6, "notice": 0.1, "copy": 0.25}
 #: known_libs is broadcast as hashed shingles; a larger table is refused.
 MOST_LIBRARY_CHARS = 20_000_000
 SHINGLE_WORDS = 5
+#: Characters without comments from which a body has a shape: below, it is the small table or the one long line that is no case.
+LEAST_BODY = 600
 #: Share of a file's shingles that one library file must hold for it to be its copy, slightly changed or not.
 COPY_SHARE = 0.7
 
@@ -58,22 +60,38 @@ _AFTER = r"[ \t\r]*(?:\Z|\n[ \t\r]*(?:\n|\Z))"
 ALONE = re.compile(_AFTER)
 #: What may be the end of one, found without telling strings from comments.
 MAYBE_ALONE = re.compile(r"(?:^(?:#|//)[^\n]*|\*/|\"\"\"|''')" + _AFTER, re.M)
+DIGITS = re.compile(r"\d+")
 NUMBERED = re.compile(r"\w*\d\w*")
 WORD = re.compile(r"\w+")
 
-# How tools and vendors mark files; each is read in the comments on the file (``remarks``), outside quotes.
-MADE = re.compile(
-    r"(?im)@generated\b|\bcode generated\b.*\bdo not edit|\bauto(?:matically)?[- ]?(?:generated|written|created)\b(?=.*\b(?:file|by|on|from|code|do not)\b|\W*$)|<auto[- ]\w+>|\bmachine[- ](?:written|generated|made)\b"
-    r"|\b(?:generated|produced|created|built|rebuilt|emitted|compiled|derived|written|made)\b[^.\n]*\b(?:automatically|from|by|out of|with)\b[^\n]*(?:[.;!(]|\brun\b)[^\n]*\b(?:edit\w*|chang\w+|modif\w+|refresh|regenerate|lost|overwritten|disappear\w*|checksum|rebuild)\b"
-    r"|\b(?:do not|don't|never) (?:edit|modify|touch|change)\b(?: (?:this file|by hand|manually|it)\b|\s*[.!:;,(]|\W*$)|\bedit the (?:template|schema|source|input|spec)\b|\bnot meant for (?:review|reading|editing)\b"
-    r"|\b(?:hand|manual|your|local) (?:edits?|changes?)\b[^\n]*\b(?:lost|overwritten|disappear\w*|discarded|vanish)|^\W*producer: [\w.-]+ v?\d|\boutput of \w+\b[^\n]*\b(?:not this file|template)|\bthis file (?:was|is|has been) (?:auto\w*|generated|created|produced|emitted|built|written by)\b[^\n]*"
+_TO_ITSELF = r"(?:this|these|the following)?\s*(?:(?:\w+\s+)?(?:file|module|code|script|source|sources|header|bindings|stubs?|client|class|types?|bundle|package|document|table|output|contents?))"
+_WAS = r"(?:,?\s*(?:was|were|is|are|has been|have been)?\s*)"
+_MAKING = r"(?:auto[- ]?|machine[- ]?)?(?:generated|produced|created|built|rebuilt|emitted|compiled|transpiled|rendered|derived|written|made)"
+# How tools and vendors mark files. A mark opens a clause of the comments on the file (``remarks``), outside quotes, so one
+# about other files, told by a verb of its own, is none.
+SURE = re.compile(
+    r"(?i)(?<![\w.])@generated\b|<auto[- ]\w+>|\bauto(?:matically)?[- ]?(?:generated|written|created)\b(?=.*\b(?:file|by|on|from|code|do not|don't)\b|\W*$)|\bmachine[- ](?:written|generated|made)\b"
+)
+#: The clause tells how the file was made.
+OPENS = re.compile(
+    rf"(?i)^\W*(?:(?:note|warning|caution|attention|important)\W+)?(?:{_TO_ITSELF}{_WAS})?(?:automatically\s+)?(?P<how>{_MAKING})\b(?:\s+(?:automatically|code|file))?(?P<by>\s*(?:by|from|with|using|via|on|out of|at)\b(?!\s+(?:hand|people|humans?|me|us|top)\b)|\W*$)"
+    r"|^\W*producer:\s*[\w.-]+|^\W*(?:warning\W+)?output of [\w./-]+"
+)
+#: Tells readers to leave this file alone.
+KEEP_OFF = re.compile(
+    r"(?i)\b(?:do not|don't|never|please don't) (?:hand[- ]?)?(?:edit|modify|touch|change|alter)\b(?:\s+(?:this|these)(?: \w+)?\b|\s+(?:by hand|manually|directly|it|them|anything)\b|\s*(?:[.!:;,(*]|\W*$))|\bnot (?:meant|intended) (?:for|to be) (?:review|reading|edit\w*|read|changed)\b"
+    r"|\b(?:hand|manual|your|local|any|all)\s+(?:edits?|changes?|modifications?)\b.*\b(?:lost|overwritten|disappear\w*|discarded|vanish\w*|reverted)\b|(?<!not )(?<!n't )\bedit the (?:template|schema|source|input|spec|generator|definition)\b"
 )
+#: Says how the file is made again: a mark only beside a clause that tells of its making.
+REMAKE = re.compile(r"(?i)\bregenerate\b|\bto (?:rebuild|refresh)\b|\b(?:checksum|rerun|re-run|run)\b.*\b(?:refresh|rebuild|update)")
 VENDORED = re.compile(
-    r"(?im)\bthird[- ]party (?:code|library|source|component)\b|\bbundled copy of\b|\bvendored (?:from|copy)\b|\btaken from the [\w.-]+ project\b|\bredistributed under\b|\bits own license\b|\bupstream(?: release|:|,| version)|\bsend (?:fixes|patches) upstream\b|\bcopied (?:unchanged|verbatim|from)\b|\b(?:originally|imported|forked|adapted) from (?:https?:|the [\w.-]+ project)|^\W*origin: [\w.-]+,|\bpermission is granted under the [\w.-]+ license|^/\*! ?[\w@./-]+ v?\d[\w.]*|\blocal (?:changes|modifications): \w+|\(c\) (?:\d{4} )?[\w-]+ (?:maintainers|contributors)"
+    r"(?i)\bthird[- ]party (?:code|library|source|component)\b|\b(?:bundled|vendored|verbatim|unmodified|local) copy of\b|\bvendored from\b|\b(?:taken|copied|imported|forked|adapted|borrowed) (?:unchanged |verbatim )?from (?:https?:|the [\w.-]+ (?:project|library|package))|\bcopied (?:unchanged|verbatim)\b|\bredistributed under\b|\bits own license\b"
+    r"|\bupstream(?: release|:|,| version)|\bsend (?:fixes|patches) upstream\b|^\W*origin: [\w.-]+,|\bpermission is granted under the [\w.-]+ license|^/\*! ?[\w@./-]+ v?\d[\w.]*|\blocal (?:changes|modifications): \w+|\(c\) (?:\d{4} )?[\w-]+ (?:maintainers|contributors)"
 )
+CLAUSE = re.compile(r"(?<=[.;])\s+|(?<=\w!)\s+")
+#: Ways of making that no one does by hand; others need a clause of REMAKE too.
+FIRM = re.compile(r"(?i)generated|emitted|transpiled")
 QUOTED = re.compile(r"(?<!\w)'[^'\n]*'|\"(?!\"\")[^\"\n]*\"")
-#: What a file says about files like it, not about itself.
-SPEAKS = re.compile(r"(?i)\bkept by (?:people|hand)\b|\bby hand since\b|\b(?:are|is) skipped\b|\bunlike the\b|\bnever read back\b|\bwhile a\b|\brewritten\b|\bthis (?:\w+ )?(?:itself|stays)\b|\bstays readable\b")
 PLACE = re.compile(r"/(?:vendor|_vendor|third_party|third-party|thirdparty|3rdparty|node_modules|bower_components|site-packages|dist-packages|extern|external|deps/upstream|jspm_packages)/(?=[^/]+/)")
 PACKED_NAME = re.compile(r"[.-]min\.js$|\.bundle\.js$")
 
@@ -111,21 +129,30 @@ def remarks(source: str) -> str:
     return "\n".join(out)
 
 
-def notice(source: str) -> str | None:
-    """made or vendored, if the comments on the file say so of it."""
-    return said(remarks(source))
+def clauses(comments: str) -> Iterator[str]:
+    """The clauses of each line, without what is quoted."""
+    for line in comments.splitlines():
+        yield from CLAUSE.split(QUOTED.sub(" ", line) if line.count("`") < 2 else line)
+
+
+def mark(clause: str) -> str | None:
+    """generated or vendored, if the clause says so by itself; made or again, if it takes both to say it."""
+    made = OPENS.search(clause)
+    if SURE.search(clause) or KEEP_OFF.search(clause) or (made and (made["how"] is None or FIRM.search(made["how"]))):
+        return "generated"
+    if VENDORED.search(clause):
+        return "vendored"
+    return "made" if made else "again" if REMAKE.search(clause) else None
 
 
 def said(comments: str) -> str | None:
-    for line in comments.splitlines():
-        line = QUOTED.sub(" ", line) if line.count("`") < 2 else line
-        if SPEAKS.search(line):
-            continue
-        if MADE.search(line):
-            return "generated"
-        if VENDORED.search(line):
-            return "vendored"
-    return None
+    found = set()
+    for clause in clauses(comments):
+        m = mark(clause)
+        if m in ("generated", "vendored"):
+            return m
+        found.add(m)
+    return "generated" if {"made", "again"} <= found else None
 
 
 def shape(source: str) -> str | None:
@@ -134,13 +161,10 @@ def shape(source: str) -> str | None:
     if body.count("|") >= 8:
         body = PATTERN.sub(lambda m: '""' if m[0].count("|") >= 8 and len(m[0]) > 100 else m[0], body)
     size = len(body)
-    if size < 150:
+    if size < LEAST_BODY:
         return None
-    literal = 1 - len(LITERAL.sub("", body)) / size
-    if literal > (0.85 if size >= 600 else 0.95):
+    if len(LITERAL.sub("", body)) < 0.15 * size:
         return "data"
-    if size < 600:
-        return None
     rows = [x for x in body.split("\n") if x.strip()]
     packed = sum(len(x) for x in rows if len(x) > 200)
     longest = max((len(x) for x in rows), default=0)
@@ -180,10 +204,14 @@ def _stable(word: str) -> int:
 
 
 def _hashed(buffer: np.ndarray, n: int) -> np.ndarray:
-    """The number of the n-gram that begins at each byte."""
-    h = np.zeros(max(0, len(buffer) - n + 1), np.uint32)
-    for k in range(n):
-        h = h * np.uint32(0x01000193) + buffer[k : k + len(h)]
+    """The number of the n-gram that begins at each byte; long ones are put together from runs of four."""
+    step = 4 if n % 4 == 0 else n
+    run = np.zeros(max(0, len(buffer) - step + 1), np.uint32)
+    for k in range(step):
+        run = run * np.uint32(0x01000193) + buffer[k : k + len(run)]
+    h = run[: max(0, len(buffer) - n + 1)].copy()
+    for k in range(step, n, step):
+        h = h * np.uint32(0x9E3779B1) + run[k : k + len(h)]
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(13)
@@ -194,10 +222,10 @@ def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def grams(text: str) -> np.ndarray:
+def grams(text: str, sizes: tuple[int, ...]) -> np.ndarray:
     """The n-gram numbers of a text."""
     b = np.frombuffer(_bytes(text), np.uint8).astype(np.uint32)
-    return np.concatenate([_hashed(b, n) for n in GRAMS])
+    return np.concatenate([_hashed(b, n) for n in sizes])
 
 
 def places(path: str) -> list[int]:
@@ -215,7 +243,7 @@ def layout(body: str) -> list[int]:
 
 @dataclass
 class Model:
-    """Weights of the three classifiers (text and path), their thresholds and how they did on held-out repositories."""
+    """Weights of the three classifiers (and of the body's path), their thresholds and how they did on held-out repositories."""
 
     text: np.ndarray
     path: np.ndarray
@@ -246,12 +274,24 @@ def _fit(rows: list[np.ndarray], extra: list[list[int]], y: np.ndarray, epochs:
     return mw / n, mv / n
 
 
-def masked(source: str, comments: str | None = None) -> tuple[str, str]:
-    """The body without comments, and the comments on the file without the marks that labels come from."""
-    return COMMENT.sub(" ", source), VENDORED.sub(" ", MADE.sub(" ", remarks(source) if comments is None else comments))
+def masked(source: str) -> str:
+    """The body without comments."""
+    return COMMENT.sub(" ", source)
+
+
+def told(comments: str) -> list[str]:
+    """The distinct clauses of comments as the classifier reads them: digits masked."""
+    return sorted({DIGITS.sub("0", c.strip()) for c in clauses(comments)} - {""})
+
+
+def quarters(text: str) -> list[str]:
+    """A text and its quarters by lines, so that a copy of a part is known too."""
+    lines = text.split("\n")
+    size = -(-len(lines) // 4)
+    return [text] + ["\n".join(lines[k : k + size]) for k in range(0, len(lines), size) if size < len(lines)]
 
 
-def score(texts: list[str], weights: np.ndarray) -> np.ndarray:
+def score(texts: list[str], weights: np.ndarray, grams_of: tuple[int, ...]) -> np.ndarray:
     """The weights of each text's n-grams, summed and divided by the root of their number; about a megabyte is hashed at once."""
     out = np.zeros(len(texts))
     first = 0
@@ -265,7 +305,7 @@ def score(texts: list[str], weights: np.ndarray) -> np.ndarray:
         sizes = np.array([len(x) for x in parts])
         ends = np.cumsum(sizes)
         sums, counts = np.zeros(len(parts)), np.zeros(len(parts))
-        for n in GRAMS:
+        for n in grams_of:
             # an n-gram belongs to the text that holds all of it
             total = np.concatenate([[0.0], np.cumsum(weights[_hashed(b, n)], dtype=np.float64)])
             begin, end = ends - sizes, np.maximum(ends - sizes, ends - n + 1)
@@ -276,21 +316,19 @@ def score(texts: list[str], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def library_shingles(known_libs: DataFrame) -> list[np.ndarray]:
-    """The shingles of each library file; the table's size is checked before it is gathered."""
+def library_sources(known_libs: DataFrame) -> list[str]:
+    """The library files; the table's size is checked before it is gathered."""
     libs = known_libs.filter(F.col("source").isNotNull())
     if (libs.agg(F.sum(F.length("source"))).first()[0] or 0) > MOST_LIBRARY_CHARS:
         raise ValueError("known_libs is larger than what may be broadcast")
-    return [shingles(r[0]) for r in libs.select("source").orderBy("lib_name", "lib_version", "rel_path").collect()]
+    return [r[0] for r in libs.select("source").orderBy("lib_name", "lib_version", "rel_path").collect()]
 
 
-def copied(source: str, libraries: dict[int, np.ndarray] | list[np.ndarray], table: tuple[np.ndarray, np.ndarray]) -> float:
+def copied(source: str, table: tuple[np.ndarray, np.ndarray]) -> float:
     """The largest share of the file's shingles that one library file holds."""
     own = shingles(source)
-    if len(own) < 20:
+    if not len(own):
         return 0.0
-    at = np.searchsorted(table[0], own)
-    at[at == len(table[0])] = 0
     left, right = np.searchsorted(table[0], own, "left"), np.searchsorted(table[0], own, "right")
     hits = [table[1][a:b] for a, b in zip(left, right) if b > a]
     if not hits:
@@ -308,80 +346,90 @@ def shingle_table(libraries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], of[order]
 
 
-def train(contexts: DataFrame, known_libs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+def train(contexts: DataFrame, libs: list[str], rows: int = SAMPLE_ROWS) -> Model:
     """Fits the classifiers on about ``rows`` contexts (and ``SAMPLE_CHARS`` characters) chosen by the hash of their path."""
     size = contexts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("source")).alias("chars")).first()
     share = min(1.0, rows / max(1, size["n"]), SAMPLE_CHARS / max(1, size["chars"] or 0))
     chosen = F.pmod(F.xxhash64("file_path"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)
     sample = contexts.filter(F.col("source").isNotNull() & F.col("file_path").isNotNull() & chosen).select("file_path", "source").distinct().toPandas().sort_values(["file_path", "source"])
-    libs = [r[0] for r in known_libs.filter(F.col("source").isNotNull()).select("source").collect()]
-    paths, sources = sample.file_path.tolist(), sample.source.tolist()
+    return fit(sample.file_path.tolist(), sample.source.tolist(), libs)
+
+
+def fit(paths: list[str], sources: list[str], libs: list[str]) -> Model:
     table = shingle_table([shingles(x) for x in libs])
-    marks = [notice(s) for s in sources]
-    shapes = [shape(s) for s in sources]
-    copies = np.array([copied(s, [], table) >= COPY_SHARE for s in sources], bool)
+    own = [remarks(s) for s in sources]
+    marked = np.array([said(x) is not None for x in own], bool)
+    shaped = np.array([shape(s) is not None for s in sources], bool)
+    copies = np.array([copied(s, table) >= COPY_SHARE for s in sources], bool)
     place = np.array([bool(PLACE.search(p)) for p in paths], bool)
     held = np.array([_stable("repo:" + p.split("/")[2] if p.count("/") > 2 else p) % 5 == 0 for p in paths], bool)
-    bodies, heads = zip(*map(masked, sources)) if sources else ((), ())
-    marked = np.array([m is not None for m in marks], bool)
-    shaped = np.array([s is not None for s in shapes], bool)
-    labels = {"body": shaped | place, "notice": marked, "copy": copies}
-    body_rows, head_rows, lib_rows = [list(map(grams, x)) for x in (bodies, heads, [masked(x)[0] for x in libs])]
+    bodies = list(map(masked, sources))
+    parts = [told(x) for x in own]
     routes = [places(p) + layout(b) for p, b in zip(paths, bodies)]
-    text, route, least, report = [], [], [], []
-    for name, y in labels.items():
-        x = head_rows if name == "notice" else body_rows
-        keep = ~held & (~(marked | place) | y if name != "body" else ~marked | y)
-        at = np.flatnonzero(keep)
-        xs, ys = [x[k] for k in at], np.where(y[at], 1, -1)
-        rs = [routes[k] if name != "copy" else [] for k in at]
-        if name == "copy":
-            xs, ys, rs = xs + lib_rows, np.concatenate([ys, np.ones(len(lib_rows), int)]), rs + [[]] * len(lib_rows)
+    plain = ~(marked | place | shaped)
+    # rows to fit on: a file of another classifier's kind is no example against
+    taken = {"body": ~held & ((shaped | place) | ~marked), "copy": ~held & (copies | plain)}
+    text, path, least, report = [], np.zeros(DIMS), [], []
+    for name, y in {"body": shaped | place, "notice": marked, "copy": copies}.items():
+        sizes = GRAMS[name]
+        if name == "notice":
+            known = sorted({c for k in np.flatnonzero(~held) for c in parts[k]})
+            xs, ys = [grams(c, sizes) for c in known], np.array([1 if mark(c) else -1 for c in known])
+            rs: list[list[int]] = [[]] * len(xs)
+        else:
+            at = np.flatnonzero(taken[name])
+            xs, ys, rs = [grams(bodies[k], sizes) for k in at], np.where(y[at], 1, -1), [routes[k] if name == "body" else [] for k in at]
+            if name == "copy":
+                more = [grams(x, sizes) for lib in libs for x in quarters(masked(lib))]
+                xs, ys, rs = xs + more, np.concatenate([ys, np.ones(len(more), int)]), rs + [[]] * len(more)
         w, v = _fit(xs, rs, ys) if len(set(ys.tolist())) == 2 else (np.zeros(DIMS), np.zeros(DIMS))
-        s = np.array([w[i].sum() / max(1, len(i)) ** 0.5 + (v[r].sum() if name != "copy" else 0) for i, r in zip(x, routes)]) if len(x) else np.zeros(0)
+        s = file_scores(name, bodies, parts, routes, w, v)
+        known_y = y & ~held
+        bound = (min(0.0 if name != "notice" else np.inf, float(s[known_y].min())) if known_y.any() else 0.0) - MARGIN[name]
         test = held & y
-        # below every labelled score by a margin: the exact check that follows makes a wide net cheap
-        below = lambda of: min(0.0, float(s[of].min())) - MARGIN[name] if of.any() else -1e9  # noqa: B023, E731
-        # reported is how a threshold that knows the fitted repositories only does on the held-out ones
-        bound = below(~held & y)
         report.append((name, int(test.sum()), int((held & ~y).sum()), float((s[test] >= bound).mean()) if test.any() else None, float((held & (s >= bound)).sum() / max(1, held.sum()))))
         text.append(w)
-        route.append(v)
-        least.append(below(y))
-    return Model(np.stack(text).astype(np.float32), np.stack(route).astype(np.float32), np.array(least), report)
+        least.append(bound)
+        path = v if name == "body" else path
+    return Model(np.stack(text).astype(np.float32), path.astype(np.float32), np.array(least), report)
+
+
+def file_scores(name: str, bodies: list[str], parts: list[list[str]], routes: list[list[int]], w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Each file's score by a classifier; for notices that of its highest clause (far below any threshold without one)."""
+    if name == "notice":
+        known = sorted({c for p in parts for c in p})
+        of = dict(zip(known, score(known, w, GRAMS[name]).tolist()))
+        return np.array([max((of[c] for c in p), default=-1e9) for p in parts])
+    s = score(bodies, w, GRAMS[name])
+    return s + np.array([v[r].sum() for r in routes]) if name == "body" and len(bodies) else s
 
 
-def judge(contexts: DataFrame, known_libs: DataFrame, model: Model) -> DataFrame:
+def judge(contexts: DataFrame, libs: list[str], model: Model) -> DataFrame:
     """``contexts`` with a struct ``judged``: the three scores and the reason, null for what was written by hand."""
-    spark = contexts.sparkSession
-    shared = spark.sparkContext.broadcast((model.text, model.path, model.least, shingle_table(library_shingles(known_libs))))
+    shared = contexts.sparkSession.sparkContext.broadcast((model.text, model.path, model.least, shingle_table([shingles(x) for x in libs])))
 
     @F.pandas_udf(RESULT)
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         text, path, least, table = shared.value
-        for paths, sources in parts:
-            known = [p is not None and s is not None for p, s in zip(paths, sources)]
+        for paths, sources in batches:
+            known = [p is not None and s is not None and not s.isspace() and s != "" for p, s in zip(paths, sources)]
             ps, ss = [p or "" for p in paths], [s or "" for s in sources]
             own = [remarks(s) for s in ss]
-            cut = [masked(s, o) for s, o in zip(ss, own)]
-            bodies = [c[0] for c in cut]
-            scores = np.stack([score(bodies, text[0]), score([c[1] for c in cut], text[1]), score(bodies, text[2])])
-            for k, p in enumerate(ps):
-                at = places(p) + layout(bodies[k])
-                scores[0, k] += path[0][at].sum()
-                scores[1, k] += path[1][at].sum()
+            bodies, parts = list(map(masked, ss)), list(map(told, own))
+            routes = [places(p) + layout(b) for p, b in zip(ps, bodies)]
+            body, notice, copy = (file_scores(name, bodies, parts, routes, text[k], path) for k, name in enumerate(GRAMS))
             reasons = []
             for k, (p, s) in enumerate(zip(ps, ss)):
                 why = None
-                if known[k] and s.strip():
-                    if scores[0, k] >= least[0]:
+                if known[k]:
+                    if body[k] >= least[0]:
                         why = "vendored" if PLACE.search(p) else shape(s)
-                    if why is None and scores[1, k] >= least[1]:
+                    if why is None and notice[k] >= least[1]:
                         why = said(own[k])
-                    if why is None and scores[2, k] >= least[2] and copied(s, [], table) >= COPY_SHARE:
+                    if why is None and copy[k] >= least[2] and copied(s, table) >= COPY_SHARE:
                         why = "vendored"
                 reasons.append(why)
-            yield pd.DataFrame({"body": scores[0], "notice": scores[1], "copy": scores[2], "reason": reasons}).astype({"body": "float32", "notice": "float32", "copy": "float32"})
+            yield pd.DataFrame({"body": body, "notice": notice, "copy": copy, "reason": reasons}).astype({"body": "float32", "notice": "float32", "copy": "float32"})
 
     return contexts.withColumn("judged", run(F.col("file_path"), F.col("source")))
 
@@ -389,6 +437,7 @@ def judge(contexts: DataFrame, known_libs: DataFrame, model: Model) -> DataFrame
 def not_by_hand(contexts: DataFrame, known_libs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``context_id, reason`` of all versions of files of which a version is found; the first reason by name."""
     own = contexts.select("context_id", "file_path", "source")
-    judged = judge(own, known_libs, train(own, known_libs, rows))
+    libs = library_sources(known_libs)
+    judged = judge(own, libs, train(own, libs, rows))
     found = judged.filter(F.col("judged.reason").isNotNull()).groupBy("file_path").agg(F.min("judged.reason").alias("reason"))
     return own.select("context_id", "file_path").join(found, "file_path").select("context_id", "reason").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm.handwritten import not_by_hand, train
+from loomgraph.llm.handwritten import library_sources, not_by_hand, train
 from loomgraph.sources.tables import load
 
 
@@ -19,7 +19,7 @@ def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the classifiers do on the repositories held out of fitting."""
-    model = train(load(spark, sf_dir, "check_contexts"), load(spark, sf_dir, "known_libs"))
+    model = train(load(spark, sf_dir, "check_contexts"), library_sources(load(spark, sf_dir, "known_libs")))
     return spark.createDataFrame(model.report, "classifier string, held_positives int, held_others int, recall double, proposed_share double")
 
 

@@ -12,9 +12,12 @@ BODY = "\n".join(f"function f{c}(a) {{\n  const {c}x = a.{c}y + 1;\n  return {c}
     ("/*! lib 1.2.3 */\n", "vendored"), ("// Bundled copy of lib 1.2.\n", "vendored"), ("# Taken from the lib project at revision abc.\n", "vendored"), ('"""(c) 2019 lib maintainers. Redistributed under the terms of its own license."""\n', "vendored"),
     ("// Copyright 2020 The me authors.\n// See LICENSE at the top of this repository.\n", None), ("// Writes files that start with 'Code generated, DO NOT EDIT'; this writer itself is kept by people.\n", None), ("# Unlike the minified bundle, this module stays readable.\n", None),
     ("// Do not edit the graph table while a session is open.\n", None), ("// The generated writer is never read back from here.\n", None), ("// First version came from a template, rewritten and kept by hand since 2023-01-07.\n", None), ("// Vendored packages are skipped before this step runs.\n", None), ('const h = "# AUTO-GENERATED FILE";\n', None),
+    ("// This module parses files that were produced by a tool; do not edit the grammar by hand, run make\n", None), ("// Generated by swagger-codegen 3.0\n", "generated"), ("# kept by hand. Code generated by protoc. DO NOT EDIT.\n", "generated"),
+    ("// Created by Jane Doe on 2020-01-01\n", None), ("# This file was automatically generated by SWIG.\n# Don't modify this file, modify the SWIG interface instead.\n", "generated"), ("// Tests for code generated by protoc\n", None), ("/* eslint-disable */\n// This file is generated. Do not touch.\n", "generated"),
+    ("// Produced by the build from a.tmpl; your edits disappear with the next run.\n", "generated"), ("# Compiled from a.idl.\n# Run make to refresh it.\n", "generated"), ("# Derived from the base class.\n", None), ("// The parser is built from grammar.y; run make after you change it.\n", None),
 ])
 def test_notices(text, why):
-    assert H.notice(text + BODY) == why
+    assert H.said(H.remarks(text + BODY)) == why
 
 
 @pytest.mark.parametrize("text, why", [
@@ -24,7 +27,7 @@ def test_notices(text, why):
     ('x = """\n# AUTO-GENERATED FILE\n\n"""\n', None), (BODY + "\n// Files with '@generated' are skipped.\n", None),
 ])
 def test_notices_below_the_head(text, why):
-    assert H.notice(text) == why
+    assert H.said(H.remarks(text)) == why
 
 
 def test_a_notice_at_the_end_is_found(spark):
@@ -49,7 +52,8 @@ def test_gram_scores_do_not_depend_on_the_batch():
 
     w = np.random.default_rng(0).normal(size=H.DIMS).astype(np.float32)
     texts = ["", "ab", "some text", "→é", "x" * 5000]
-    assert np.allclose(H.score(texts, w), [H.score([t], w)[0] for t in texts])
+    assert np.allclose(H.score(texts, w, (3, 8)), [H.score([t], w, (3, 8))[0] for t in texts])
+    assert all(np.isclose(H.score([t], w, (12,))[0], w[H.grams(t, (12,))].sum() / max(1, len(t.encode()) - 11) ** 0.5, atol=1e-4) for t in texts)
 
 
 def tables(spark, extra=()):
@@ -87,8 +91,8 @@ def test_recall_is_of_held_out_repositories(spark):
     sources = [r["source"] for r in c.filter("context_id < 40").orderBy("context_id").collect()]
     at = lambda n, r, source: (n, f"/ws/r{r}/packages/p/src/h{n}.ts", source, 1)
     rows = [at(n, fitted, ("// Code generated by t. DO NOT EDIT.\n" if n % 2 else "// my own\n") + x) for n, x in enumerate(sources)]
-    alone = H.train(spark.createDataFrame(rows, c.schema), k)
+    alone = H.train(spark.createDataFrame(rows, c.schema), H.library_sources(k))
     assert [r[3] for r in alone.report] == [None, None, None]
     rows.append(at(99, held, "// my own my own my own my own\n// Code generated by t. DO NOT EDIT.\n" + sources[0]))
-    report = H.train(spark.createDataFrame(rows, c.schema), k).report
+    report = H.train(spark.createDataFrame(rows, c.schema), H.library_sources(k)).report
     assert report[1][1] == 1 and report[1][3] is not None and report[0][3] is report[2][3] is None
