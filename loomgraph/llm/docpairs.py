@@ -1,4 +1,4 @@
-"""Functions paired with their documentation (problem 4), in Spark SQL without Python workers.
+"""Functions paired with their documentation (problem 4), in Spark SQL.
 
 Sources are lexed into rows: comments, strings, brackets, line ends and runs of other text, each with its
 place. Running sums over a file's tokens give the offset, bracket depth and line of each. Lines of the same
@@ -6,6 +6,9 @@ depth are then islands: a run of comment and decorator lines that nothing else i
 line that ends it, and in Python a line of nothing but strings belongs to the line before. Lag and lead
 windows over (file, depth) attach both to the declaration whose symbol starts on the line.
 
+The pattern of a script's template nests twice; a file in which it meets a template that goes deeper, or holds braces it
+can't pair, is lexed again with a stack (``lexed_by_stack``), in Arrow batches that carry no other file's text.
+
 All windows and groupings after the first exchange are by file, so the tokens are shuffled never and the
 sources once. A file is one group; a group is as large as the file, whatever the skew of repositories.
 
@@ -16,8 +19,13 @@ no tokens. Offsets count characters (code points). Other columns of the inputs a
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PY = r"""(?:[rRuUbBfFtT]{0,2})(?:\"\"\"[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+(?:\"\"\"|\z)|'''[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+(?:'''|\z)|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"?|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'?)"""
 PYTHON_TOKEN = rf"""#[^\n]*+|{_PY}|\r?\n[ \t\f]*+|[()\[\]{{}}]|[^\r\n#"'()\[\]{{}}]++|\r"""
@@ -25,17 +33,24 @@ PYTHON_TOKEN = rf"""#[^\n]*+|{_PY}|\r?\n[ \t\f]*+|[()\[\]{{}}]|[^\r\n#"'()\[\]{{
 
 def _template(depth: int) -> str:
     strings = r""""[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"""
-    inner = rf"(?:[^`{{}}'\"]++|{strings}|\{{[^`{{}}]*+\}}" + (f"|{_template(depth - 1)}" if depth else "") + ")*+"
-    return rf"`[^`\\$]*+(?:(?:\\[\s\S]|\$(?!\{{)|\$\{{{inner}\}})[^`\\$]*+)*+`?"
+    inner = rf"(?:[^`{{}}'\"/]++|/(?![/*])|{strings}|\{{(?:[^`{{}}'\"/]++|/(?![/*])|{strings})*+\}}" + (f"|{_template(depth - 1)}" if depth else "") + ")*+"
+    return rf"`[^`\\$]*+(?:(?:\\[\s\S]|\$(?!\{{)|\$\{{{inner}\}})[^`\\$]*+)*+`" + ("" if depth < 2 else "?")
 
 
-SCRIPT_TOKEN = (
+#: What a regular expression may follow.
+_OPERAND = r"(?<=[(,=:\[!&|?{;][ ]{0,2}|\breturn )"
+_AROUND = (
     r"/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\z)|//[^\n]*+"
     r"""|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"?|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'?"""
-    rf"|{_template(2)}"
-    r"|(?<=[(,=:\[!&|?{;][ ]{0,2}|\breturn )/(?![*/])[^/\\\[\n]*+(?:(?:\\.|\[[^\]\\\n]*+(?:\\.[^\]\\\n]*+)*+\])[^/\\\[\n]*+)*+/"
+    r"|{template}"
+    r"|{operand}/(?![*/])[^/\\\[\n]*+(?:(?:\\.|\[[^\]\\\n]*+(?:\\.[^\]\\\n]*+)*+\])[^/\\\[\n]*+)*+/"
     r"|\r?\n[ \t\f]*+|[()\[\]{}]|[^\r\n/`\"'()\[\]{}]++|[/\r]"
 )
+SCRIPT_TOKEN = _AROUND.replace("{template}", _template(2)).replace("{operand}", _OPERAND)
+# the same for Python's engine, which looks back by a fixed width only, with the backtick alone
+_FIXED = "(?:" + "|".join([rf"(?<=[(,=:\[!&|?{{;]{' ' * k})" for k in range(3)] + [r"(?<=\breturn )"]) + ")"
+_STACK_TOKEN = re.compile(_AROUND.replace("{template}", "`").replace("{operand}", _FIXED).replace(r"\z", r"\Z"))
+_TEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+")
 
 # Words that stand for documentation still to be written, and tools that read comments.
 PLACEHOLDER = r"(?i)^(?:todo|fixme|xxx|tbd|tba|wip|hack)\b.*$|^(?:n/?a|none|null|placeholder|doc ?string|documentation|description|summary|comment)s?[.: ]*$|^.*\b(?:description|documentation|docs?|doc ?string|summary|comment)\b.*\b(?:goes?|here|later|missing|pending)\b.*$|^(?:add|write|insert|fill in|document)\b.*\b(?:description|documentation|docs?|me|this|here)\W*$|^no (?:description|documentation)\b.*$|^lorem ipsum.*$"
@@ -62,11 +77,53 @@ def newest(contexts: DataFrame) -> DataFrame:
     )
 
 
+def lexed_by_stack(source: str) -> list[str]:
+    """The tokens of a script, templates of any nesting whole."""
+    out, at = [], 0
+    while at < len(source):
+        m = _STACK_TOKEN.match(source, at)
+        end = m.end() if m else at + 1
+        if source[at] == "`":
+            # open templates and the braces in their expressions
+            stack = ["`"]
+            while stack and end < len(source):
+                if stack[-1] == "`":
+                    end = _TEXT.match(source, end).end()
+                    if source.startswith("${", end):
+                        stack.append("{")
+                        end += 2
+                    else:
+                        stack.pop()
+                        end += 1
+                    continue
+                char = source[end]
+                if char in "`{":
+                    stack.append(char)
+                elif char == "}":
+                    stack.pop()
+                m = None if char == "`" else _STACK_TOKEN.match(source, end)
+                end = m.end() if m else end + 1
+            end = min(end, len(source))
+        out.append(source[at:end])
+        at = end
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _lexed_by_stack(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for sources in parts:
+        yield pd.Series([None if s is None else lexed_by_stack(s) for s in sources], dtype=object)
+
+
 def tokens(files: DataFrame) -> DataFrame:
     """``file_path, py, place, token``: a row for each token; the tokens of a file add up to its source."""
     py = F.col("file_path").endswith(".py")
     lexed = F.when(py, F.regexp_extract_all("source", F.lit(PYTHON_TOKEN), F.lit(0))).otherwise(F.regexp_extract_all("source", F.lit(SCRIPT_TOKEN), F.lit(0)))
-    return files.select("file_path", py.alias("py"), F.posexplode(lexed).alias("place", "token"))
+    # a template that the pattern couldn't follow is cut off before its end
+    cut_off = F.exists("lexed", lambda t: t.startswith("`") & ((F.length(t) == 1) | ~t.endswith("`")))
+    once = files.select("file_path", py.alias("py"), "source", lexed.alias("lexed"))
+    deep = _lexed_by_stack(F.when(~F.col("py") & F.col("source").contains("${") & cut_off, F.col("source")))
+    return once.select("file_path", "py", F.posexplode(F.coalesce(deep, "lexed")).alias("place", "token"))
 
 
 def lines(tokens: DataFrame) -> DataFrame:

@@ -123,3 +123,29 @@ def test_tokens_add_up_to_the_source(spark):
 def test_empty_tables(spark):
     c, s = run(spark, [("a.py", PY, PY_NAMES)])
     assert documentation(c.limit(0), s).count() == 0 and documentation(c, s.limit(0)).count() == 0
+
+
+DEEP = [
+    "const x = `a${f({b: {c: 1}})}d`;\n", "const x = `a${f({b: {c: {d: `e${{f: {g: `h${`i${j}`}`}}}`}}})}d`;\n", "const x = `a${f({b: {c: '}`'}})}d`;\n", "const x = `a${/* it's ` */ b}d`;\n",
+    "const x = `a${b.map((q) => { if (q) { return `c${{d: {e: 1}}}`; } })}d`, y = `\\`${`$`}`;\n",
+]
+
+
+def test_templates_of_any_depth_keep_what_follows(spark):
+    after = "/** Keeps the newest of both. */\nfunction keep(a) { return a; }\n"
+    files = [(k, f"d{k}.ts", 1, text + after) for k, text in enumerate(DEEP)]
+    c = spark.createDataFrame(files, "context_id long, file_path string, version int, source string")
+    s = spark.createDataFrame([(f"s{k}", "function", "keep", f"d{k}.ts", (len(text) + after.index("function"), len(text + after) - 1)) for k, text in enumerate(DEEP)], "id string, kind string, name string, file string, range struct<start:int,end:int>")
+    assert {r["symbol_id"]: r["documentation"] for r in documentation(c, s).collect()} == {f"s{k}": "Keeps the newest of both." for k in range(len(DEEP))}
+    lexed = tokens(c.select("file_path", "source")).orderBy("file_path", "place").collect()
+    for _, path, _, source in files:
+        assert "".join(r["token"] for r in lexed if r["file_path"] == path) == source
+
+
+def test_both_lexers_agree(spark):
+    from loomgraph.llm.docpairs import lexed_by_stack
+
+    c = spark.createDataFrame([("a.ts", TS), ("b.ts", "const a = `b${c}` / 2, d = /[`]/;\n// it's `x\nf('`');\n"), ("c.js", "")], "file_path string, source string")
+    rows = tokens(c).orderBy("file_path", "place").collect()
+    for path, source in (("a.ts", TS), ("b.ts", c.filter("file_path = 'b.ts'").first()["source"]), ("c.js", "")):
+        assert [r["token"] for r in rows if r["file_path"] == path] == lexed_by_stack(source)
