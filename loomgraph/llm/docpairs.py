@@ -50,6 +50,8 @@ SCRIPT_TOKEN = _AROUND.replace("{template}", _template(2)).replace("{operand}",
 # the same for Python's engine, which looks back by a fixed width only, with the backtick alone
 _FIXED = "(?:" + "|".join([rf"(?<=[(,=:\[!&|?{{;]{' ' * k})" for k in range(3)] + [r"(?<=\breturn )"]) + ")"
 _STACK_TOKEN = re.compile(_AROUND.replace("{template}", "`").replace("{operand}", _FIXED).replace(r"\z", r"\Z"))
+#: Only a template with one of these in an expression may go too deep.
+RISKY = r"\$\{[^{}`'\"/]*+[{`'\"/]|`[^`]*\z"
 _TEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+")
 
 # Words that stand for documentation still to be written, and tools that read comments.
@@ -115,15 +117,26 @@ def _lexed_by_stack(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([None if s is None else lexed_by_stack(s) for s in sources], dtype=object)
 
 
+def _cut_off(tokens: Column) -> Column:
+    """Whether the pattern couldn't follow a script's template to its end."""
+    return F.exists(tokens, lambda t: t.startswith("`") & ((F.length(t) == 1) | ~t.endswith("`")))
+
+
 def tokens(files: DataFrame) -> DataFrame:
-    """``file_path, py, place, token``: a row for each token; the tokens of a file add up to its source."""
+    """``file_path, py, place, token``: a row for each token; the tokens of a file add up to its source. Files that ``deep_tokens`` reads have none."""
     py = F.col("file_path").endswith(".py")
-    lexed = F.when(py, F.regexp_extract_all("source", F.lit(PYTHON_TOKEN), F.lit(0))).otherwise(F.regexp_extract_all("source", F.lit(SCRIPT_TOKEN), F.lit(0)))
-    # a template that the pattern couldn't follow is cut off before its end
-    cut_off = F.exists("lexed", lambda t: t.startswith("`") & ((F.length(t) == 1) | ~t.endswith("`")))
-    once = files.select("file_path", py.alias("py"), "source", lexed.alias("lexed"))
-    deep = _lexed_by_stack(F.when(~F.col("py") & F.col("source").contains("${") & cut_off, F.col("source")))
-    return once.select("file_path", "py", F.posexplode(F.coalesce(deep, "lexed")).alias("place", "token"))
+    script = F.regexp_extract_all("source", F.lit(SCRIPT_TOKEN), F.lit(0))
+    # in an array of one, so that the pattern runs once for the test and the tokens
+    followed = F.get(F.transform(F.array(script), lambda t: F.when(_cut_off(t), F.array().cast("array<string>")).otherwise(t)), F.lit(0))
+    lexed = F.when(py, F.regexp_extract_all("source", F.lit(PYTHON_TOKEN), F.lit(0))).otherwise(followed)
+    return files.select("file_path", py.alias("py"), F.posexplode(lexed).alias("place", "token"))
+
+
+def deep_tokens(files: DataFrame) -> DataFrame:
+    """The same for scripts whose templates the pattern can't follow, by the stack."""
+    risky = ~F.col("file_path").endswith(".py") & F.col("source").rlike(RISKY)
+    deep = files.filter(risky & _cut_off(F.regexp_extract_all("source", F.lit(SCRIPT_TOKEN), F.lit(0))))
+    return deep.select("file_path", F.lit(False).alias("py"), F.posexplode(_lexed_by_stack("source")).alias("place", "token"))
 
 
 def lines(tokens: DataFrame) -> DataFrame:
@@ -227,7 +240,8 @@ def documentation(contexts: DataFrame, symbols: DataFrame, latest: DataFrame | N
     A symbol finds its line by order: lines and symbols of a file are sorted by offset and each symbol
     takes the last line that began before it (an as-of join without a join).
     """
-    found = documented_lines(lines(tokens(newest(contexts) if latest is None else latest)))
+    files = newest(contexts) if latest is None else latest
+    found = documented_lines(lines(tokens(files))).unionByName(documented_lines(lines(deep_tokens(files))))
     s = function_symbols(symbols)
     both = found.select("file_path", F.col("begin").alias("at"), F.lit(0).alias("sort"), F.struct("end", "above", "docstring").alias("doc"), F.lit(None).cast("struct<id:string,name:string,stop:int>").alias("s")).unionByName(
         s.select(F.col("file").alias("file_path"), F.col("start").cast("bigint").alias("at"), F.lit(1).alias("sort"), F.lit(None).cast(found.select(F.struct("end", "above", "docstring").alias("d")).schema["d"].dataType).alias("doc"), F.struct("id", "name", "stop").alias("s"))

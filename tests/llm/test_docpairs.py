@@ -1,4 +1,4 @@
-from loomgraph.llm.docpairs import documentation, pairs, tokens
+from loomgraph.llm.docpairs import deep_tokens, documentation, pairs, tokens
 
 PY = '''# Counts what the reader has seen so far.
 @cached
@@ -137,7 +137,8 @@ def test_templates_of_any_depth_keep_what_follows(spark):
     c = spark.createDataFrame(files, "context_id long, file_path string, version int, source string")
     s = spark.createDataFrame([(f"s{k}", "function", "keep", f"d{k}.ts", (len(text) + after.index("function"), len(text + after) - 1)) for k, text in enumerate(DEEP)], "id string, kind string, name string, file string, range struct<start:int,end:int>")
     assert {r["symbol_id"]: r["documentation"] for r in documentation(c, s).collect()} == {f"s{k}": "Keeps the newest of both." for k in range(len(DEEP))}
-    lexed = tokens(c.select("file_path", "source")).orderBy("file_path", "place").collect()
+    f = c.select("file_path", "source")
+    lexed = tokens(f).union(deep_tokens(f)).orderBy("file_path", "place").collect()
     for _, path, _, source in files:
         assert "".join(r["token"] for r in lexed if r["file_path"] == path) == source
 
