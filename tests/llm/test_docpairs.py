@@ -115,7 +115,7 @@ def test_tokens_add_up_to_the_source(spark):
     sources = [("a.py", PY), ("a.ts", TS), ("e.ts", "x = 'open\n`never closed ${a"), ("f.py", '"""open'), ("g.ts", "é→" * 3 + "/* open"), ("h.ts", "a" * 200000 + "\"" + "b" * 100000)]
     df = spark.createDataFrame(sources, "file_path string, source string")
     by = {}
-    for r in tokens(df).orderBy("file_path", "place").collect():
+    for r in tokens(df).union(deep_tokens(df)).orderBy("file_path", "place").collect():
         by[r["file_path"]] = by.get(r["file_path"], "") + r["token"]
     assert by == dict(sources)
 
