@@ -22,6 +22,7 @@ EXACT, PREFIX, SEGMENT, SEGMENT_PREFIX, CONTAINS = 120, 90, 80, 70, 60
 
 def words_of(name: Column) -> Column:
     """Lower-case words of an identifier in any casing; a run of capitals is a word."""
+    # fixed values: the two places at which a name is split
     apart = F.regexp_replace(F.regexp_replace(name, r"([A-Z]+)([A-Z][a-z])", "$1_$2"), r"([a-z\d])([A-Z])", "$1_$2")
     return F.filter(F.split(F.lower(apart), r"[_\-]+"), lambda w: w != "")
 
@@ -164,8 +165,10 @@ def label(text: Column) -> Column:
 
 
 def dist_to_source(path: Column) -> Column:
-    rules = [(r"^(\./)?dist/", "$1src/"), (r"\.d\.ts$", ".ts"), (r"\.js$", ".ts"), (r"\.cjs$", ".ts"), (r"\.mjs$", ".ts")]
-    return reduce(lambda c, r: F.regexp_replace(c, *r), rules, path)
+    """The source of a built file: ``dist`` at the start becomes ``src``, a declaration or script of any module kind a ``.ts`` file."""
+    stem = F.regexp_extract(path, r"^(.*?)(?:\.d\.ts|\.[cm]?js)?$", 1)
+    folder = F.regexp_replace(stem, r"^((?:\./)?)dist(?=/)", "$1src")
+    return F.when(stem == path, folder).otherwise(F.concat(folder, F.lit(".ts")))
 
 
 def name_matches(name: Column, wanted: str) -> Column:

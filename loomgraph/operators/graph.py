@@ -6,6 +6,8 @@ cost a round at most. Nothing is gathered to the driver but counts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -227,17 +229,53 @@ def condensed(edges: DataFrame, members: DataFrame) -> DataFrame:
 def longest_from(edges: DataFrame) -> DataFrame:
     """``id, length``: the longest chain of edges that starts at each node of an acyclic graph with an edge.
 
-    Round k keeps the nodes that a chain of k edges starts at, so there are as many rounds as the longest chain has edges.
+    Sinks are peeled off: a node whose last edge goes in round k has a chain of k edges. Edges retire with the nodes they lead
+    to, so all rounds together read each edge about once.
     """
-    edges = cut(edges.select("src", "dst").distinct())
-    alive, k, out = cut(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()), 0, None
-    out = alive.withColumn("length", F.lit(0))
-    while True:
+    left = cut(edges.select("src", "dst").distinct())
+    sources = lambda df: df.select(F.col("src").alias("id")).distinct()
+    found, k = cut(left.select(F.col("dst").alias("id")).distinct().join(sources(left), "id", "left_anti").withColumn("length", F.lit(0))), 0
+    parts = [found]
+    while not found.isEmpty():
         k += 1
-        alive = cut(edges.join(alive, F.col("dst") == F.col("id"), "left_semi").select(F.col("src").alias("id")).distinct())
-        if alive.isEmpty():
-            return out.groupBy("id").agg(F.max("length").alias("length"))
-        out = cut(out.unionByName(alive.withColumn("length", F.lit(k))).groupBy("id").agg(F.max("length").alias("length")))
+        rest = cut(left.join(found.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        found = cut(sources(left).join(sources(rest), "id", "left_anti").withColumn("length", F.lit(k)))
+        left = rest
+        parts.append(found)
+        if len(parts) > MERGE_LEVELS:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def longest_chain(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``place, id``: the nodes of the longest chain of components (named by their least node), of several the least by its nodes in order.
+
+    From the longest lengths downwards each step goes to the least successor whose length is one less, so no path is ever stored.
+    """
+    flat = cut(condensed(edges, members))
+    lengths = cut(longest_from(flat))
+    top = lengths.agg(F.max("length")).first()[0]
+    if top is None:
+        return edges.select(F.lit(0).alias("place"), F.col("src").alias("id")).limit(0)
+    at = lengths.filter(F.col("length") == top).agg(F.min("id").alias("id"))
+    steps = [at.select(F.lit(0).alias("place"), "id")]
+    for k in range(1, top + 1):
+        near = flat.join(at.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))
+        at = cut(near.join(lengths.filter(F.col("length") == top - k), "id", "left_semi").agg(F.min("id").alias("id")))  # one row
+        steps.append(at.select(F.lit(k).alias("place"), "id"))
+    return reduce(DataFrame.unionByName, steps)
+
+
+def dependency_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id, level, place``: dependencies first, the nodes freed together in their order; those in or behind cycles (level null) come last."""
+    from loomgraph.operators.export import placed
+
+    return placed(topological_levels(edges, nodes), [F.coalesce("level", F.lit(1 << 30)), F.col("id")], "place")
+
+
+def cycle_diff(base: DataFrame, current: DataFrame) -> DataFrame:
+    """``size, members, change``: cycles (``id, cycle``) that only one side has; a cycle is its set of members."""
+    return diff(cycles(base), cycles(current), ["size", "members"])
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:

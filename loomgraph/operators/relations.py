@@ -51,18 +51,23 @@ def enclosing_scope(items: DataFrame, scopes: DataFrame) -> DataFrame:
     return hit.groupBy("id").agg(F.min_by("scope_id", F.struct(F.col("end") - F.col("start"), "start", "scope_id")).alias("scope_id"))
 
 
-def scope_ancestors(scopes: DataFrame, most: int = 64) -> DataFrame:
-    """``id, ancestor, depth`` up the parent chains, each scope its own ancestor at 0; one shuffle by file covers every round."""
-    links = scopes.select("id", "parent").distinct()
-    out = step = links.select("id", F.col("id").alias("ancestor"), "parent", F.lit(0).alias("depth"))
-    for k in range(1, most):
-        up = links.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
-        step = step.filter(F.col("parent").isNotNull()).join(up, "parent").select("id", F.col("parent").alias("ancestor"), F.col("next").alias("parent"), F.lit(k).alias("depth"))
-        step = cut(step)
-        if step.isEmpty():
-            break
-        out = out.unionByName(step)
-    return out.select("id", "ancestor", "depth")
+def scope_ancestors(scopes: DataFrame) -> DataFrame:
+    """``id, ancestor, depth`` up the parent chains, each scope its own ancestor at 0. A chain that comes back to its own scope ends there.
+
+    Known stretches are joined to their continuations, so rounds grow with the logarithm of the depth.
+    """
+    links = cut(scopes.select("id", "parent").distinct())
+    out = cut(links.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).distinct())
+    # reach: what lies exactly ``size`` levels up
+    reach, size = links.filter(F.col("parent").isNotNull()).select("id", F.col("parent").alias("ancestor")), 1
+    while True:
+        up = reach.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
+        more = out.join(up, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("depth") + size).alias("depth"))
+        more = cut(more.join(out.select("id", "ancestor"), ["id", "ancestor"], "left_anti").join(links.select(F.col("id").alias("ancestor")).distinct(), "ancestor", "left_semi"))
+        if more.isEmpty():
+            return out.select("id", "ancestor", "depth")
+        out = cut(out.unionByName(more).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
+        reach, size = cut(reach.join(up, "ancestor").select("id", F.col("next").alias("ancestor"))), size * 2
 
 
 def resolve_lexically(references: DataFrame, symbols: DataFrame, ancestors: DataFrame) -> DataFrame:
@@ -127,11 +132,16 @@ def structural_matches(shapes: DataFrame, declared: DataFrame) -> DataFrame:
     """
     whole = shapes.filter(~F.col("truncated"))
     m = whole.select("owner", "kind", F.explode("members").alias("m")).select("owner", "kind", "m.*")
-    has = m.filter(F.col("kind") == "class").select("owner", "name", "member_kind", "is_static", "param_arity")
-    need = m.filter(~F.col("is_optional")).select(F.col("owner").alias("target"), "name", "member_kind", "is_static", F.col("param_arity").alias("least"))
+    by = ["name", "member_kind", "is_static"]
+    has = cut(m.filter(F.col("kind") == "class").groupBy("owner", *by).agg(F.max(F.coalesce("param_arity", F.lit(0))).alias("param_arity")))
+    need = cut(m.filter(~F.col("is_optional")).groupBy(F.col("owner").alias("target"), *by).agg(F.max(F.coalesce("param_arity", F.lit(0))).alias("least")))
     counts = need.groupBy("target").agg(F.count(F.lit(1)).alias("n_needed"))
-    met = need.join(has, ["name", "member_kind", "is_static"]).filter(F.coalesce("param_arity", F.lit(0)) >= F.coalesce("least", F.lit(0)))
-    full = met.groupBy("owner", "target").agg(F.count_distinct("name", "member_kind", "is_static").alias("n_met")).join(counts, "target").filter("n_met = n_needed").select("owner", "target")
+    # only owners of a target's rarest member can match it, so a member that most have pairs nothing
+    common = has.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    rarest = need.join(common, by, "left").groupBy("target").agg(F.min_by(F.struct(*by, "least"), F.struct(F.coalesce("n", F.lit(0)), *by)).alias("r")).select("target", "r.*")
+    asked = rarest.join(has, by).filter(F.col("param_arity") >= F.col("least")).select("owner", "target")
+    met = asked.join(need, "target").join(has, ["owner", *by]).filter(F.col("param_arity") >= F.col("least"))
+    full = met.groupBy("owner", "target").agg(F.count(F.lit(1)).alias("n_met")).join(counts, "target").filter("n_met = n_needed").select("owner", "target")
     free = whole.filter(F.size("members") > 0).select(F.col("owner").alias("target")).join(counts, "target", "left_anti")
     classes = whole.filter(F.col("kind") == "class").select("owner")
     anything = classes.join(free, F.lit(True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,24 +75,26 @@ def no_duplicate_exports(exports: DataFrame) -> DataFrame:
     return violations(numbered.filter("n > 1"), "no-duplicate-exports", F.concat(F.lit("'"), "exported_name", F.lit("' is exported by "), "first", F.lit(" already")))
 
 
-def no_mixed_exports(exports: DataFrame) -> DataFrame:
+def no_mixed_exports(exports: DataFrame, preferred: str | None = None) -> DataFrame:
+    """Modules with default and named exports; with ``preferred`` (default or named) those with any export of the other style."""
     by = exports.groupBy("file").agg(F.bool_or(F.col("is_default")).alias("d"), F.bool_or(~F.col("is_default")).alias("n"))
+    if preferred is not None:
+        other = F.col("n") if preferred == "default" else F.col("d")
+        return violations(by.filter(other), "no-mixed-exports", F.lit(f"exports should be {preferred}"))
     return violations(by.filter("d and n"), "no-mixed-exports", F.lit("default and named exports in one module"))
 
 
-def star_reach(exports: DataFrame, stars: DataFrame, most: int = 10) -> DataFrame:
+def star_reach(exports: DataFrame, stars: DataFrame) -> DataFrame:
     """``file, exported_name, source``: names that a file re-exports by stars, with the star they come through; ``default`` never does."""
     own = exports.filter(F.col("exported_name") != "default").select("file", "exported_name").distinct()
     links = stars.select("file", F.col("target").alias("via")).distinct()
-    names = links.join(own.withColumnRenamed("file", "via"), "via").select("file", "exported_name", F.col("via").alias("source"))
-    for _ in range(most - 1):
-        seen = names.select(F.col("file").alias("via"), "exported_name").distinct()
-        more = links.join(seen, "via").select("file", "exported_name", F.col("via").alias("source"))
-        new = graph.cut(names.unionByName(more).distinct())
-        if new.count() == names.count():
-            break
-        names = new
-    return names.distinct()
+    names = new = graph.cut(links.join(own.withColumnRenamed("file", "via"), "via").select("file", "exported_name", F.col("via").alias("source")).distinct())
+    while not new.isEmpty():
+        seen = new.select(F.col("file").alias("via"), "exported_name").distinct()
+        more = links.join(seen, "via").select("file", "exported_name", F.col("via").alias("source")).distinct()
+        new = graph.cut(more.join(names, ["file", "exported_name", "source"], "left_anti"))
+        names = graph.cut(names.unionByName(new))
+    return names
 
 
 def no_star_collisions(exports: DataFrame, stars: DataFrame) -> DataFrame:
@@ -105,6 +109,28 @@ def no_unused_exports(exports: DataFrame, imported: DataFrame, stars: DataFrame)
     return violations(left, "no-unused-exports", F.concat(F.lit("'"), "exported_name", F.lit("' is not imported")))
 
 
+def not_exported(imported: DataFrame, symbols: DataFrame, exports: DataFrame) -> DataFrame:
+    """The converse: top-level symbols ``file, name`` that another file imports by ``target, name`` and that are not exported."""
+    asked = imported.filter(F.col("file") != F.col("target")).select(F.col("target").alias("file"), "name").distinct()
+    hit = symbols.select("file", "name").distinct().join(asked, ["file", "name"], "left_semi").join(exports.select("file", F.col("exported_name").alias("name")), ["file", "name"], "left_anti")
+    return violations(hit, "no-unused-exports", F.concat(F.lit("'"), "name", F.lit("' is imported but not exported")))
+
+
+def logger_enter_exit(functions: DataFrame, enter: str = "enter", leave: str = "exit", logger: str = "logger") -> DataFrame:
+    """Functions ``file, name, body`` that don't begin with a call of ``logger.enter`` or have none of ``logger.exit`` in the ``finally`` of their first try.
+
+    The body is the text between the function's braces, or below its header in Python; null for functions that are one expression, which always fail.
+    """
+    call = lambda name: rf"\b{re.escape(logger)}\s*\.\s*{re.escape(name)}\s*\("
+    first = r"(?s)^\s*(?:(?://[^\n]*\n|#[^\n]*\n|/\*.*?\*/|\x22{3}.*?\x22{3}|\x27{3}.*?\x27{3})\s*)*(?:await\s+)?"
+    begins = F.coalesce(F.col("body").rlike(first + call(enter)[2:]), F.lit(False))
+    after_try = F.regexp_extract("body", r"(?s)\btry\b.*?\bfinally\b(.*)", 1)
+    ends = F.coalesce(after_try.rlike(call(leave)), F.lit(False))
+    what = F.when(F.col("body").isNull(), "is one expression").when(~begins, f"does not begin with {logger}.{enter}").when(~ends, f"does not end with {logger}.{leave} in a finally")
+    hit = functions.withColumn("what", what).filter(F.col("what").isNotNull())
+    return violations(hit, "require-logger-enter-exit", F.concat(F.lit("function '"), "name", F.lit("' "), "what"))
+
+
 def no_unused_symbols(symbols: DataFrame, used: DataFrame, kinds: list[str], ignore: str = "^_") -> DataFrame:
     """Declarations of the kinds that nothing uses (``id``) and that are neither exported nor named to be ignored."""
     asked = symbols.filter(F.col("kind").isin(kinds) & (F.col("flags").bitwiseAND(1) == 0) & ~F.col("name").rlike(ignore))
@@ -112,9 +138,12 @@ def no_unused_symbols(symbols: DataFrame, used: DataFrame, kinds: list[str], ign
 
 
 def no_cycles(members: DataFrame, least: int = 2, most: int = 50) -> DataFrame:
-    """The largest cycles, then by members; one row each at its first member."""
-    found = graph.cycles(members).filter(F.col("size") >= least).orderBy(F.desc("size"), "members").limit(most)
-    return violations(found.withColumn("file", F.element_at("members", 1).cast("string")), "no-cycles", F.concat(F.lit("cycle of "), F.col("size").cast("string")))
+    """The largest cycles, then by members; one row each at its first member. If there are more than ``most``, a row without a file tells how many are left out."""
+    every = graph.cut(graph.cycles(members).filter(F.col("size") >= least))
+    found = every.orderBy(F.desc("size"), "members").limit(most)
+    rows = violations(found.withColumn("file", F.element_at("members", 1).cast("string")), "no-cycles", F.concat(F.lit("cycle of "), F.col("size").cast("string")))
+    n = every.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).withColumn("file", F.lit(None).cast("string"))
+    return rows.unionByName(violations(n, "no-cycles", F.concat((F.col("n") - most).cast("string"), F.lit(" more cycles"))))
 
 
 def max_cycle_size(members: DataFrame, most: int, ignored: Column | None = None) -> DataFrame:
@@ -134,8 +163,15 @@ def entry_point_allowlist(nodes: DataFrame, edges: DataFrame, allowed: Column) -
     return violations(hit.withColumn("file", F.col("id").cast("string")), "entry-point-allowlist", F.lit("not an allowed entry point"))
 
 
-def dead_module(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+def dead_module(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None = None, entry_globs: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
+    """Modules that no entry reaches, but for those ignored. Entry globs that match nothing give no violations."""
+    if entry_globs:
+        entries = nodes.filter(T.matches_any(F.col("id").cast("string"), entry_globs)).select("id")
+        if entries.isEmpty():
+            nodes = nodes.limit(0)
     hit = graph.dead_modules(nodes, edges, entries)
+    if ignore:
+        hit = hit.filter(~T.matches_any(F.col("id").cast("string"), ignore))
     return violations(hit.withColumn("file", F.col("id").cast("string")), "dead-module", F.lit("no entry point reaches it"))
 
 
@@ -157,6 +193,11 @@ def no_layer_violation(edges: DataFrame, layer: DataFrame, deny: list[tuple[str,
     return violations(crossed.filter(bad).withColumn("file", F.col("src").cast("string")), "no-layer-violation", F.concat("from", F.lit(" -> "), "to", F.lit(": "), F.col("dst").cast("string")))
 
 
+def ambiguous_layers(layered: DataFrame) -> DataFrame:
+    """A row for each file that two layers claim by globs of the same length (``layer_of``)."""
+    return violations(layered.filter(F.col("ambiguous")), "no-layer-violation", F.lit("more than one layer claims it"))
+
+
 def no_cross_package_internal(edges: DataFrame, package: DataFrame, entries: DataFrame) -> DataFrame:
     """Edges into another package at a module that isn't its entry. ``package`` has ``id, package``, ``entries`` has ``id``."""
     a, b = package.select(F.col("id").alias("src"), F.col("package").alias("from")), package.select(F.col("id").alias("dst"), F.col("package").alias("to"))
@@ -164,7 +205,11 @@ def no_cross_package_internal(edges: DataFrame, package: DataFrame, entries: Dat
     return violations(bad.withColumn("file", F.col("src").cast("string")), "no-cross-package-internal-import", F.concat("to", F.lit(": "), F.col("dst").cast("string")))
 
 
-def no_undeclared_implementer(matches: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Classes that have an interface's members without declaring it. ``matches``: owner, target; ``kinds``: id, kind."""
+def no_undeclared_implementer(matches: DataFrame, kinds: DataFrame, ignore_classes: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """Classes that have an interface's members without declaring it. ``matches``: owner, target; ``kinds``: id, kind. ``only`` are globs of interfaces to ask for, ``ignore_classes`` of classes left out."""
+    if only:
+        matches = matches.filter(T.matches_any(F.col("target").cast("string"), only))
+    if ignore_classes:
+        matches = matches.filter(~T.matches_any(F.col("owner").cast("string"), ignore_classes))
     hit = matches.join(kinds.filter(F.col("kind") == "interface").select(F.col("id").alias("target")), "target", "left_semi")
     return violations(hit.withColumn("file", F.col("owner").cast("string")), "no-undeclared-implementer", F.concat(F.lit("implements "), F.col("target").cast("string")))
