@@ -195,3 +195,32 @@ def escape_xml(text: Column) -> Column:
 
 def escape_regex(text: Column) -> Column:
     return F.regexp_replace(text, r"[.*+?^${}()|\[\]\\]", r"\\$0")
+
+
+def utf8_offset(source: Column, offset: Column) -> Column:
+    """The UTF-8 byte offset of a character offset."""
+    return F.octet_length(F.encode(F.substring(source, F.lit(1), offset), "UTF-8"))
+
+
+def offset_of_utf8(source: Column, at: Column) -> Column:
+    """The character offset of a UTF-8 byte offset; inside a character, that of the character."""
+    # each byte as two digits; those that continue a character begin with 8, 9, A or B
+    digits = F.hex(F.encode(source, "UTF-8"))
+    begun = F.length(F.regexp_replace(F.substring(digits, F.lit(1), (at + 1) * 2), "[89AB][0-9A-F]|([0-7C-F])[0-9A-F]", "$1"))
+    total = F.length(source)
+    return F.when(at * 2 >= F.length(digits), total).otherwise(begun - 1)
+
+
+def offset_at(source: Column, line: Column, column: Column) -> Column:
+    """The character offset of a 1-based line and column; null outside the source."""
+    lines = F.split(source, "\n", -1)
+    before = F.aggregate(F.slice(lines, F.lit(1), line - 1), F.lit(0), lambda acc, x: acc + F.length(x) + 1)
+    return F.when((line >= 1) & (line <= F.size(lines)) & (column >= 1) & (column <= F.length(F.try_element_at(lines, line)) + 1), before + column - 1)
+
+
+def redacted(key_name: Column, value: Column, strict: bool = False, most: int = 512) -> Column:
+    """A logged value: masked under keys that name secrets or sources; in strict mode cut at ``most`` characters."""
+    secret = F.lower(key_name).rlike("password|passwd|secret|token|api_?key|authorization|cookie|credential")
+    source = F.lower(key_name).rlike("^(?:source|sourcetext|content|body|text)$")
+    shown = F.when(F.length(value) > most, F.concat(F.substring(value, 1, most), F.lit("..."))).otherwise(value) if strict else value
+    return F.when(secret, "[secret]").when(source, F.concat(F.lit("["), F.length(value).cast("string"), F.lit(" characters]"))).otherwise(shown)

@@ -103,6 +103,46 @@ def resolve_specs(specs: DataFrame, files: DataFrame, extensions: tuple[str, ...
     return specs.select("from_file", "spec").distinct().join(best, ["from_file", "spec"], "left")
 
 
+def resolve_modules(specs: DataFrame, files: DataFrame, packages: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """``from_file, spec, target, how`` of script specifiers: a workspace package, a relative path, an alias or an absolute path; others are external (null).
+
+    ``packages``: name, dir, entry. ``name`` gives the package's entry, ``name/path`` a file below its folder, then below its ``src``. The longest package name
+    wins, as does the longest alias (a prefix and the folder it stands for). Paths are tried as in ``resolve_specs``.
+    """
+    asked = specs.select("from_file", "spec").distinct()
+    parts = F.split("spec", "/")
+    prefixes = asked.select("from_file", "spec", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("name")))).alias("p")).select("from_file", "spec", "p.n", "p.name")
+    owned = prefixes.join(packages.select("name", "dir", "entry"), "name").groupBy("from_file", "spec").agg(F.max_by(F.struct("name", "dir", "entry"), "n").alias("k")).select("from_file", "spec", "k.*")
+    whole = owned.filter(F.col("spec") == F.col("name")).select("from_file", "spec", F.col("entry").alias("target"), F.lit("package").alias("how"))
+    below = owned.filter(F.col("spec") != F.col("name"))
+    path = F.substring("spec", F.length("name") + 1, F.length("spec"))
+    tries = below.select("from_file", "spec", F.lit("package").alias("how"), F.posexplode(F.array(F.concat("dir", path), F.concat("dir", F.lit("/src"), path))).alias("rank", "path"))
+    rest = asked.join(owned.select("from_file", "spec"), ["from_file", "spec"], "left_anti")
+    relative = F.col("spec").rlike(r"^\.\.?(?:/|$)")
+    stands = F.lit(None).cast("string")
+    for prefix, folder in sorted((aliases or {}).items(), key=lambda x: len(x[0])):
+        stands = F.when(F.col("spec").startswith(prefix), F.concat(F.lit(folder), F.substring("spec", len(prefix) + 1, 1 << 30))).otherwise(stands)
+    base = F.regexp_replace("from_file", "/[^/]*$", "")
+    how = F.when(relative, "relative").when(stands.isNotNull(), "alias").when(F.col("spec").startswith("/"), "absolute")
+    at = F.when(relative, F.concat(base, F.lit("/"), "spec")).when(stands.isNotNull(), stands).when(F.col("spec").startswith("/"), F.col("spec"))
+    more = rest.select("from_file", "spec", how.alias("how"), F.lit(0).alias("rank"), at.alias("path")).filter(F.col("path").isNotNull())
+    every = tries.unionByName(more)
+    # a path from the root is a relative one of a file at the root
+    found = resolve_specs(every.select(F.lit("").alias("from_file"), F.concat(F.lit("./"), F.ltrim("path", F.lit("/"))).alias("spec")).distinct(), files)
+    hits = every.withColumn("_spec", F.concat(F.lit("./"), F.ltrim("path", F.lit("/")))).join(found.select(F.col("spec").alias("_spec"), "target"), "_spec").filter(F.col("target").isNotNull())
+    best = whole.unionByName(hits.groupBy("from_file", "spec").agg(F.min_by(F.struct("target", "how"), "rank").alias("b")).select("from_file", "spec", "b.target", "b.how"))
+    return asked.join(best, ["from_file", "spec"], "left")
+
+
+def with_submodules(resolved: DataFrame, files: DataFrame) -> DataFrame:
+    """``resolved`` (from_file, spec, name, target, export_id) with ``submodule``: for a name that a package's ``__init__.py`` doesn't export, the module of that name beside it."""
+    init = F.col("target").endswith("/__init__.py") & F.col("export_id").isNull() & F.col("name").isNotNull()
+    folder = F.regexp_replace("target", "__init__\\.py$", "")
+    tried = resolved.filter(init).select("target", "name", F.posexplode(F.array(F.concat(folder, "name", F.lit(".py")), F.concat(folder, "name", F.lit("/__init__.py")))).alias("rank", "submodule")).distinct()
+    best = tried.join(files.select(F.col("file").alias("submodule")).distinct(), "submodule", "left_semi").groupBy("target", "name").agg(F.min_by("submodule", "rank").alias("submodule"))
+    return resolved.join(best, ["target", "name"], "left").withColumn("submodule", F.when(init, F.col("submodule")))
+
+
 def resolve_python(specs: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
     """``from_file, spec, target`` of Python modules: leading dots climb packages, else from ``root``; a module file before a package."""
     dots = F.length(F.regexp_extract("spec", r"^\.*", 0))

@@ -8,9 +8,11 @@ row a key and task is shuffled, whatever the key's share of the table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.sources.tables import cut
+
 
 def weighted_values(df: DataFrame, key: str | Column, value: str | Column) -> DataFrame:
     """``key_value, counterpart, weight``: each distinct pair with the number of rows that hold it.
@@ -59,3 +61,26 @@ def hot_keys(profiles: DataFrame, share: float = 0.02) -> DataFrame:
     """
     total = profiles.agg(F.sum("n_rows").alias("all_rows"))
     return profiles.join(F.broadcast(total), F.col("n_rows") >= F.lit(share) * F.col("all_rows"), "inner")
+
+
+def value_percentiles(weighted: DataFrame, percentiles: tuple[float, ...]) -> DataFrame:
+    """``key_value, p..``: exact percentiles of each key's numeric values, interpolated between neighbours; null without a value.
+
+    Weighted values are sorted by (key, value) into ranges, so a hot key lies on many of them; a range knows how many rows its
+    key has before it, and only the values at the asked places are gathered (two a percentile and key).
+    """
+    held = weighted.filter(F.col("counterpart").isNotNull()).select("key_value", F.col("counterpart").cast("double").alias("v"), "weight")
+    ranged = cut(held.repartitionByRange("key_value", "v").withColumn("range", F.spark_partition_id()))
+    # a row for each key and range
+    sums = ranged.groupBy("key_value", "range").agg(F.sum("weight").alias("rows"))
+    before = Window.partitionBy("key_value").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("key_value", "range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"), F.sum("rows").over(Window.partitionBy("key_value")).alias("n"))
+    within = Window.partitionBy("key_value", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("inside", F.coalesce(F.sum("weight").over(within), F.lit(0))).join(starts, ["key_value", "range"]).withColumn("first", F.col("start") + F.col("inside"))
+    name = lambda p: f"p{round(100 * p):02d}"
+    value_at = lambda place: F.max(F.when((F.col("first") <= place) & (place < F.col("first") + F.col("weight")), F.col("v")))
+    places = {p: (F.col("n") - 1) * F.lit(p) for p in percentiles}
+    both = [c for p, x in places.items() for c in (value_at(F.floor(x)).alias("lo_" + name(p)), value_at(F.ceil(x)).alias("hi_" + name(p)), F.max(x - F.floor(x)).alias("part_" + name(p)))]
+    found = placed.groupBy("key_value").agg(*both)
+    mixed = [(F.col("lo_" + name(p)) + (F.col("hi_" + name(p)) - F.col("lo_" + name(p))) * F.col("part_" + name(p))).alias(name(p)) for p in percentiles]
+    return weighted.select("key_value").distinct().join(found.select("key_value", *mixed), "key_value", "left")

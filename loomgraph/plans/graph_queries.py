@@ -237,7 +237,7 @@ SQL = {
     "ru_max_fan_out": f"WITH {_g(25)}, {_DEG} SELECT 'max-fan-out' AS rule_id, id::VARCHAR AS file, fan_out || ' of at most 12' AS message FROM deg WHERE fan_out > 12",
     "ru_entry_allowlist": f"WITH {_g(25)} SELECT 'entry-point-allowlist' AS rule_id, p_partkey::VARCHAR AS file FROM part WHERE p_partkey NOT IN (SELECT dst FROM g) AND p_partkey % 2 <> 0",
     "ru_dead_module": _ENTRY + " SELECT 'dead-module' AS rule_id, id::VARCHAR AS file FROM n WHERE id NOT IN (SELECT id FROM d)",
-    "ru_no_cycles": _CYC + " SELECT 'no-cycles' AS rule_id, cycle::VARCHAR AS file, 'cycle of ' || count(*) AS message FROM m GROUP BY cycle ORDER BY count(*) DESC, cycle LIMIT 50",
+    "ru_no_cycles": _CYC + ", z AS (SELECT cycle, count(*) AS size, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM m GROUP BY cycle) SELECT 'no-cycles' AS rule_id, file, message FROM (SELECT cycle::VARCHAR AS file, 'cycle of ' || size AS message FROM z ORDER BY size DESC, cycle LIMIT 50) UNION ALL SELECT 'no-cycles', NULL, (count(*) - 50) || ' more cycles' FROM z HAVING count(*) > 50",
     "ru_max_cycle_size": _CYC + " SELECT 'max-cycle-size' AS rule_id, cycle::VARCHAR AS file, 'cycle of ' || count(*) AS message FROM m GROUP BY cycle HAVING count(*) > 3",
     "ag_dependency_metrics": _METRICS + " SELECT * FROM m",
     "ag_package_rollup": _METRICS + " SELECT package, count(*) AS modules, sum(loc)::BIGINT AS loc, count(*) FILTER (entry) AS entries, max(fan_in) AS max_fan_in FROM m GROUP BY package",

@@ -58,8 +58,8 @@ def shapes(spark, sf_dir) -> DataFrame:
 
 
 def flows(spark, sf_dir) -> DataFrame:
-    """``flow_id, scope_id, file`` of the variables, each flowing in its scope."""
-    return symbols(spark, sf_dir).filter("kind = 'variable'").select(F.col("id").alias("flow_id"), "scope_id", "file")
+    """``flow_id, scope_id, file`` of the parameters, each flowing in its scope."""
+    return symbols(spark, sf_dir).filter("kind = 'parameter'").select(F.col("id").alias("flow_id"), "scope_id", "file")
 
 
 def sub_types(spark, sf_dir) -> DataFrame:
@@ -130,7 +130,7 @@ SQL = {
     "lk_type_relations": f"WITH {_TYPES} SELECT * FROM r WHERE confidence = 'declared'",
     "lk_sub_types": f"WITH {_TYPES}, w AS (SELECT target_name AS tn, target_id AS ti FROM r ORDER BY 1, 2 LIMIT 1) SELECT symbol_id, target_name FROM r, w WHERE (confidence = 'declared' AND target_name = tn AND target_id = ti) OR (confidence <> 'declared' AND target_id = ti)",
     "lk_shapes": f"WITH {_SHAPES}, {_SC} SELECT owner, count(*)::INT AS n_members FROM m WHERE owner IN (SELECT id FROM sc WHERE kind = 'class') GROUP BY owner",
-    "lk_flows": f"WITH {_S} SELECT id AS flow_id FROM sy WHERE kind = 'variable' AND file IN ({_LANG.format('python')})",
-    "jn_flow_owners": f"WITH {_S}, {_SC} SELECT flow_id, owner FROM (SELECT v.id AS flow_id, g.id AS owner, row_number() OVER (PARTITION BY v.id ORDER BY g.\"range\".\"end\" - g.\"range\".\"start\", g.\"range\".\"start\", g.id) AS n FROM sy v JOIN sc ON sc.id = v.scope_id JOIN sy g ON g.file = sc.file AND g.kind IN ('function', 'method') AND g.\"range\".\"start\" <= sc.\"range\".\"start\" AND sc.\"range\".\"end\" <= g.\"range\".\"end\" WHERE v.kind = 'variable') WHERE n = 1",
+    "lk_flows": f"WITH {_S} SELECT id AS flow_id FROM sy WHERE kind = 'parameter' AND file IN ({_LANG.format('python')})",
+    "jn_flow_owners": f"WITH {_S}, {_SC} SELECT flow_id, owner FROM (SELECT v.id AS flow_id, g.id AS owner, row_number() OVER (PARTITION BY v.id ORDER BY g.\"range\".\"end\" - g.\"range\".\"start\", g.\"range\".\"start\", g.id) AS n FROM sy v JOIN sc ON sc.id = v.scope_id JOIN sy g ON g.file = sc.file AND g.kind IN ('function', 'method') AND g.\"range\".\"start\" <= sc.\"range\".\"start\" AND sc.\"range\".\"end\" <= g.\"range\".\"end\" WHERE v.kind = 'parameter') WHERE n = 1",
     "jn_symbol_importers": f"WITH {_BOUND}, c AS (SELECT id, min(id) OVER (PARTITION BY name) AS canonical FROM lib_symbols), x AS (SELECT DISTINCT b.file, coalesce(c.canonical, b.export_id) AS e FROM b LEFT JOIN c ON c.id = b.export_id WHERE b.export_id IS NOT NULL) SELECT DISTINCT c.id, x.file FROM c JOIN x ON x.e = c.canonical",
 }

@@ -47,3 +47,8 @@ def scorecard(runs: DataFrame) -> DataFrame:
 
 def rule_rollup(found: DataFrame) -> DataFrame:
     return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_violations"), F.count_distinct("file").alias("n_files"))
+
+
+def grouped(found: DataFrame) -> DataFrame:
+    """``file, messages, n``: the violations of each file as lines of text, in their order."""
+    return found.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("message")), "\n").alias("messages"), F.count(F.lit(1)).alias("n"))
