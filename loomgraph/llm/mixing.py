@@ -8,7 +8,7 @@ siblings can't take goes to those of their parent. Every leaf then uses its docu
 epochs first, then the prefix of the last one's order that comes nearest to the budget.
 
 The default total is the largest at which no source with documents is short, so only shares of sources
-without documents are handed on.
+without documents are handed on; with a larger ``scale`` short sources give what they have, and what they can't take is handed on.
 
 The order of an epoch is that of a hash, so a leaf is never sorted in one task: tokens are summed by ranges of
 the hash, ranges within the budget are taken whole, and only the range at its end is put in order. Ranges
@@ -33,12 +33,8 @@ SEED = 11
 RANGE_ROWS = 5000
 #: mix_targets is read to the driver; a longer table is refused.
 MOST_TARGETS = 10_000
-#: The domain of each source; others are domains of their own.
-DOMAINS = {
-    "issue_thread": "discussion", "review_comment": "discussion", "forum_archive": "discussion",
-    "rule_docs": "reference", "api_reference": "reference", "design_note": "reference",
-    "readme": "guides", "tutorial": "guides", "changelog": "records",
-}
+#: Pairs of source and language are read to the driver; more are refused.
+MOST_LEAVES = 100_000
 
 
 @dataclass(frozen=True)
@@ -114,7 +110,10 @@ def sized(documents: DataFrame, sources: list[str], path: str = DEFAULT_PATH) ->
 
 
 def leaves_of(sizes: DataFrame, targets: dict[str, tuple[float, int]], domains: dict[str, str]) -> list[Leaf]:
-    held = {(r["source"], r["lang"]): r["tokens"] for r in sizes.groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens")).collect()}
+    rows = sizes.groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens")).limit(MOST_LEAVES + 1).collect()
+    if len(rows) > MOST_LEAVES:
+        raise ValueError("too many pairs of source and language")
+    held = {(r["source"], r["lang"]): r["tokens"] for r in rows}
     whole: dict[str, int] = {}
     for (source, _), n in held.items():
         whole[source] = whole.get(source, 0) + n
@@ -136,7 +135,7 @@ def chosen(sizes: DataFrame, budget: dict[Leaf, float], seed: int = SEED, range_
     """``doc_id, source, lang, n_tokens, uses`` of the documents used."""
     spark = sizes.sparkSession
     rows = [(x.source, x.lang, int(b // x.tokens), b - (b // x.tokens) * x.tokens) for x, b in budget.items() if x.tokens]
-    # one row a leaf: sources are at most MOST_TARGETS, times the languages that documents have
+    # one row a leaf, at most MOST_LEAVES
     plan = spark.createDataFrame(rows, "source string, lang string, epochs int, rest double")
     ranges = max(1, -(-sizes.count() // range_rows))
     # an epoch's order is that of its own hash
@@ -156,11 +155,12 @@ def chosen(sizes: DataFrame, budget: dict[Leaf, float], seed: int = SEED, range_
     return sure.unionByName(last).filter(F.col("uses") > 0)
 
 
-def mix(documents: DataFrame, mix_targets: DataFrame, path: str = DEFAULT_PATH, total: float | None = None, seed: int = SEED, domains: dict[str, str] | None = None) -> DataFrame:
+def mix(documents: DataFrame, mix_targets: DataFrame, path: str = DEFAULT_PATH, total: float | None = None, seed: int = SEED, domains: dict[str, str] | None = None, scale: float = 1.0) -> DataFrame:
+    """``domains`` names the domain of a source; others are domains of their own. The default total is ``scale`` times the largest at which no source is short."""
     targets = targets_of(mix_targets)
     sizes = sized(documents, list(targets), path)
-    leaves = leaves_of(sizes, targets, DOMAINS if domains is None else domains)
-    return chosen(sizes, budgets(leaves, largest_total(leaves) if total is None else total), seed)
+    leaves = leaves_of(sizes, targets, domains or {})
+    return chosen(sizes, budgets(leaves, scale * largest_total(leaves) if total is None else total), seed)
 
 
 def shares(mixed: DataFrame, mix_targets: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Filling containers of several capacities with texts (problem 6).
 
 Variable-capacity best-fit decreasing: items go, longest first, to the open container that they fill best;
-if none has room, a container is opened. All permitted capacities are optimised together: for each capacity
-a block is packed with it as the one to open (the next larger for items that exceed it), every container is
-then downsized to the least capacity that holds its contents, and the cheapest of these packings stays.
+if none has room, a container is opened. All permitted capacities are optimised together: which one is opened is chosen
+for each container, by the least cost of its room or the least cost for the item at hand, or it is the same for the whole
+block; every container is then downsized to the least capacity that holds its contents, and the cheapest of these
+packings stays.
 
 Items are spread over blocks of about ``BLOCK_ITEMS`` by the hash of their id, whatever their source, so each
 block has the whole mixture of lengths and is packed in one task by itself; only ids and sizes are moved.
@@ -36,7 +37,10 @@ def pack(sizes: list[int], capacities: list[int], costs: dict[int, float] | None
     """
     price = (lambda c: costs[c]) if costs else float
     best: tuple[float, int, list[int], list[int]] | None = None
-    for opened in capacities:
+    by_room = {s: min((c for c in capacities if c >= s), key=lambda c: (price(c) / c, -c)) for s in set(sizes)}
+    by_item = {s: min((c for c in capacities if c >= s), key=lambda c: (price(c), c)) for s in set(sizes)}
+    fixed = [{s: max(opened, next(c for c in capacities if c >= s)) for s in by_room} for opened in capacities]
+    for opening in [by_room, by_item, *fixed]:
         room_at: dict[int, list[int]] = {}
         rooms = 0  # bit r is set if a container with room r is open
         used: list[int] = []
@@ -50,7 +54,7 @@ def pack(sizes: list[int], capacities: list[int], costs: dict[int, float] | None
                 if not stack:
                     rooms &= ~(1 << room)
             else:
-                room = max(opened, next(c for c in capacities if c >= size))
+                room = opening[size]
                 k = len(used)
                 used.append(0)
             used[k] += size
@@ -59,7 +63,7 @@ def pack(sizes: list[int], capacities: list[int], costs: dict[int, float] | None
             if left:
                 room_at.setdefault(left, []).append(k)
                 rooms |= 1 << left
-        fitted = [next(c for c in capacities if c >= u) for u in used]
+        fitted = [min((c for c in capacities if c >= u), key=lambda c: (price(c), c)) for u in used]
         total = sum(map(price, fitted))
         if best is None or (total, len(used)) < best[:2]:
             best = (total, len(used), where, fitted)
@@ -71,7 +75,7 @@ def item_sizes(documents: DataFrame, path: str = DEFAULT_PATH) -> DataFrame:
     return cut(documents.select("doc_id", token_count(F.col("text"), path).alias("n_tokens")))
 
 
-def fill(sizes: DataFrame, limits: list[tuple[str, int]], block_items: int = BLOCK_ITEMS) -> DataFrame:
+def fill(sizes: DataFrame, limits: list[tuple[str, int]], block_items: int = BLOCK_ITEMS, costs: dict[int, float] | None = None) -> DataFrame:
     """``container_id, container_kind, capacity_tokens, doc_id, piece, first_token, n_tokens`` of each placed piece."""
     kinds = {c: k for k, c in sorted(limits, reverse=True) if c and c > 0}
     if not kinds:
@@ -89,7 +93,7 @@ def fill(sizes: DataFrame, limits: list[tuple[str, int]], block_items: int = BLO
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        placed = pack(rows.n_tokens.tolist(), capacities)
+        placed = pack(rows.n_tokens.tolist(), capacities, costs)
         block = rows.block.iloc[0]
         return pd.DataFrame({
             "container_id": [f"{block}-{k}" for k, _ in placed], "container_kind": [kinds[c] for _, c in placed], "capacity_tokens": [c for _, c in placed],
@@ -106,8 +110,10 @@ def limits_of(pack_limits: DataFrame) -> list[tuple[str, int]]:
     return [(r[0], r[1]) for r in rows]
 
 
-def fill_documents(documents: DataFrame, pack_limits: DataFrame, path: str = DEFAULT_PATH, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    return fill(item_sizes(documents, path), limits_of(pack_limits), block_items)
+def fill_documents(documents: DataFrame, pack_limits: DataFrame, path: str = DEFAULT_PATH, block_items: int = BLOCK_ITEMS, cost=None) -> DataFrame:
+    """``cost`` gives the cost of a container of a capacity; it is the capacity by default."""
+    limits = limits_of(pack_limits)
+    return fill(item_sizes(documents, path), limits, block_items, {c: float(cost(c)) for _, c in limits if c and c > 0} if cost else None)
 
 
 def summary(filled: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.sampling import sample_ids, sample_rows
-from loomgraph.sources.tables import load
+from loomgraph.llm.sampling import merge_state, sample_ids, sample_rows, select
+from loomgraph.sources.tables import cut, load
 
 SEED = 17
 #: Chosen per character: a record of 1000 characters is chosen with probability 0.4.
@@ -23,6 +23,19 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p3_stored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sample from stored maxima: those of the earlier half of the records, then of the later half merged into them."""
+    parts = []
+    for t in TABLES:
+        records = load(spark, sf_dir, t)
+        middle = records.agg(F.timestamp_micros(F.avg(F.unix_micros(F.col("ingested_at").cast("timestamp"))).cast("bigint")).alias("m")).first()["m"]
+        late = F.coalesce(F.col("ingested_at").cast("timestamp") > F.lit(middle), F.lit(True))
+        state = cut(merge_state(None, records.filter(~late), "id", _weight()))
+        state = merge_state(state, records.filter(late), "id", _weight())
+        parts.append(select(state, CONSTANT, SEED).select(F.lit(t).alias("table_name"), "id", "max_weight"))
+    return parts[0].unionByName(parts[1])
+
+
 def p3_sample_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, ids and time span of the sampled records by kind: what the sample holds."""
     parts = [
@@ -34,7 +47,7 @@ def p3_sample_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {"p3_sample": p3_sample, "p3_sample_kinds": p3_sample_kinds}
+QUERIES = {"p3_sample": p3_sample, "p3_stored_state": p3_stored_state, "p3_sample_kinds": p3_sample_kinds}
 
 _CHOSEN = """SELECT id, max(w) AS max_weight FROM (
   SELECT id, CASE WHEN "range"."end" - "range"."start" > 0 THEN ("range"."end" - "range"."start")::DOUBLE ELSE 1.0 END AS w FROM {t} WHERE id IS NOT NULL)
@@ -46,3 +59,4 @@ SQL = {
         for t in TABLES
     ),
 }
+SQL["p3_stored_state"] = SQL["p3_sample"]

@@ -129,3 +129,26 @@ def test_each_language_has_its_list(spark, monkeypatch):
     assert got[300]["coverage_rank"] < got[400]["coverage_rank"] < 100 and got[401]["coverage_rank"] < 100
     monkeypatch.setattr("loomgraph.llm.reading.RANKED", 4)
     assert {r["doc_id"]: r for r in levels(d, s).collect()} == got
+
+
+def test_the_container_to_open_is_chosen_by_cost_for_each():
+    sizes = sorted([60, 8, 7, 8, 40, 30, 5], reverse=True)
+    costs = {8: 9.0, 32: 50.0, 64: 70.0}
+    placed = pack(sizes, [8, 32, 64], costs)
+    total = sum(costs[c] for c in dict(placed).values())
+    assert {8, 64} <= set(dict(placed).values()) and total <= 70 * 3  # no packing into the largest alone is cheaper
+    room = {}
+    for (k, c), s in zip(placed, sizes):
+        room[k] = room.get(k, c) - s
+    assert min(room.values()) >= 0
+
+
+def test_shortages_go_to_siblings_before_others():
+    from loomgraph.llm.mixing import Leaf, budgets, largest_total
+
+    leaves = [Leaf("a", "en", "x", 0.25, 10, 1), Leaf("a", "en", "y", 0.25, 1000, 1), Leaf("b", "en", "z", 0.5, 1000, 1)]
+    assert largest_total(leaves) == 40
+    got = {leaf.source: b for leaf, b in budgets(leaves, 400).items()}
+    assert got == {"x": 10, "y": 190, "z": 200}
+    got = {leaf.source: b for leaf, b in budgets([leaves[0], Leaf("a", "en", "y", 0.25, 100, 1), leaves[2]], 400).items()}
+    assert got == {"x": 10, "y": 100, "z": 290}
