@@ -1,7 +1,7 @@
 """Facts of source files: one pass over the sources in Arrow batches, a row for each fact, split into tables.
 
-Python is read with the interpreter's own parser; of scripts, imports, exports and declarations are read line by
-line in SQL (``script_imports``, ``script_declarations``). Offsets count characters. A file that can't be
+Python is read with the interpreter's own parser, scripts by their tokens (``script_facts``); a script's imports and
+declarations can also be read line by line in SQL (``script_imports``, ``script_declarations``). Offsets count characters. A file that can't be
 parsed gives one row in ``errors`` and doesn't stop the others.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,6 +39,7 @@ TABLES = {
 EXPORTED, ASYNC, STATIC = 1, 2, 4
 READ, WRITE, BOTH = 1, 2, 8
 MOST_MEMBERS = 64
+PYTHON, SCRIPT = r"\.pyw?$", r"\.[cm]?[jt]sx?$"
 
 
 def key(*parts: object) -> str:
@@ -236,6 +238,15 @@ class _Reader(ast.NodeVisitor):
         else:
             self.later.append(("ref", self.stack[-1], n.id, span, READ if isinstance(n.ctx, ast.Load) else WRITE))
 
+    def visit_Attribute(self, n: ast.Attribute) -> None:
+        parts, x = [], n
+        while isinstance(x, ast.Attribute):
+            parts.append(x.attr)
+            x = x.value
+        if isinstance(x, ast.Name):
+            self.later.append(("ref", self.stack[-1], ".".join([x.id, *reversed(parts)]), self.range(n), READ if isinstance(n.ctx, ast.Load) else WRITE))
+        self.visit(x)
+
     def visit_AugAssign(self, n: ast.AugAssign) -> None:
         if isinstance(n.target, ast.Name):
             self.later.append(("ref", self.stack[-1], n.target.id, self.range(n.target), READ | WRITE | BOTH))
@@ -288,14 +299,15 @@ def python_facts(file: str, source: str) -> list[tuple[str, dict]]:
 
 
 def facts(sources: DataFrame) -> DataFrame:
-    """``file, table, fact`` (JSON) of the Python files among ``file, source``."""
+    """``file, table, fact`` (JSON) of the Python and script files among ``file, source``."""
+    from loomgraph.sources.script_facts import script_facts
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(f, t, json.dumps(x)) for f, s in zip(pdf.file, pdf.source) for t, x in python_facts(f, s)]
+            rows = [(f, t, json.dumps(x)) for f, s in zip(pdf.file, pdf.source) for t, x in (python_facts if re.search(PYTHON, f) else script_facts)(f, s)]
             yield pd.DataFrame(rows, columns=["file", "table", "fact"])
 
-    return sources.filter(F.col("file").rlike(r"\.pyw?$") & F.col("source").isNotNull()).select("file", "source").mapInPandas(run, "file string, table string, fact string")
+    return sources.filter(F.col("file").rlike(f"{PYTHON}|{SCRIPT}") & F.col("source").isNotNull()).select("file", "source").mapInPandas(run, "file string, table string, fact string")
 
 
 def extract(sources: DataFrame) -> dict[str, DataFrame]:

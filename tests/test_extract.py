@@ -55,7 +55,7 @@ def test_facts(spark):
     found = {r["scope_id"]: r["complexity"] for r in extract.complexity(t["cfg_nodes"], t["cfg_edges"]).collect()}
     scope = {r["range"]["start"]: r["id"] for r in rows("scopes") if r["kind"] == "function"}
     assert found[scope[by["helper"]["range"]["start"]]] == 1 and found[scope[by["run"]["range"]["start"]]] >= 3
-    assert {r["file"] for r in t["scopes"].collect()} == {"a.py", "c.py"}
+    assert {r["file"] for r in t["scopes"].collect()} == {"a.py", "c.py", "d.ts"}
 
 
 def test_scripts(spark):
