@@ -10,7 +10,8 @@ band that explains its buckets best. A document's band is the one with most of i
 
 A bucket of ranks begins, in any list, where the reference language's list has covered as much of its words, so
 lists of unequal length share a scale. Every word has its own rank. Only the ``RANKED`` most frequent of a list are
-broadcast; if there are more, rarer words find theirs by a shuffle.
+broadcast; if there are more, rarer words find theirs by a shuffle. Bands need a word's bucket only, so words of a list's last
+bucket are not looked up for them.
 
 Documents are shuffled once, by id; words are exploded, ranked and gathered where they are. A group is a
 sentence, then a document.
@@ -81,17 +82,21 @@ def _bucket(size: Column, last: int) -> Column:
     return F.least(F.lit(last), F.floor(size)).cast("int")
 
 
-def measures(sentences: DataFrame, ranked: DataFrame) -> DataFrame:
-    """``id, sentence, n_words, ranks, b0..b3``: the buckets of each sentence. ``ranks`` holds 16 times the rank plus its step."""
-    words = sentences.select("id", "list", "sentence", F.explode("words").alias("word"))
-    keyed = ranked.select("list", "word", (F.col("rank") * 16 + F.col("step")).alias("code"))
+def measures(sentences: DataFrame, ranked: DataFrame, with_ranks: bool = True) -> DataFrame:
+    """``id, sentence, n_words, ranks, b0..b3``: the buckets of each sentence. ``ranks`` holds 16 times the rank plus its step.
+
+    Without ``with_ranks`` only the steps are asked for: words of their list's last step, known or not, need no rank and are not joined.
+    """
+    tops = F.broadcast(ranked.groupBy("list").agg(F.max("step").alias("top")))  # a row a language
+    words = sentences.join(tops, "list", "left").select("id", "list", "sentence", F.coalesce("top", F.lit(LAST)).alias("top"), F.explode("words").alias("word"))
+    keyed = ranked.join(tops, "list").filter(F.lit(with_ranks) | (F.col("step") < F.col("top"))).select("list", "word", (F.col("rank") * 16 + F.col("step")).alias("code"))
     top = F.broadcast(keyed.filter(F.col("code") < 16 * (RANKED + 1)))
     placed = words.join(top, ["list", "word"], "left")
     rare = keyed.filter(F.col("code") >= 16 * (RANKED + 1))
     if not rare.isEmpty():
         placed = placed.filter(F.col("code").isNotNull()).unionByName(placed.filter(F.col("code").isNull()).drop("code").join(rare, ["list", "word"], "left"))
     # words of no document, which only reference texts have, count as rarer than any
-    placed = placed.select("id", "sentence", F.length("word").alias("size"), F.coalesce("code", F.lit(16 * (1 << 40) + LAST)).alias("code"))
+    placed = placed.select("id", "sentence", F.length("word").alias("size"), F.coalesce("code", F.lit(16 * (1 << 40)) + F.col("top")).alias("code"))
     each = placed.groupBy("id", "sentence").agg(F.array_sort(F.collect_list("code")).alias("ranks"), F.avg("size").alias("mean"), F.count(F.lit(1)).alias("n_words"))
     at = [F.element_at("ranks", F.ceil(F.lit(s) * F.col("n_words")).cast("int")) % 16 for s in SHARES]
     return each.select(
@@ -118,22 +123,25 @@ def banded(measured: DataFrame, likelihood: list[list[list[float]]]) -> DataFram
     return measured.withColumn("band", F.coalesce(*[F.when(s == best, F.lit(b)) for b, s in zip(BANDS, scores)]))
 
 
-def levels(documents: DataFrame, samples: DataFrame, reference_lang: str = "en") -> DataFrame:
-    """``doc_id, lang, band, coverage_rank, n_words, share_1..share_4`` of every document."""
+def levels(documents: DataFrame, samples: DataFrame, reference_lang: str = "en", with_ranks: bool = True) -> DataFrame:
+    """``doc_id, lang, band, coverage_rank, n_words, share_1..share_4`` of every document; ``coverage_rank`` only ``with_ranks``, the rest is the same without."""
     own = documents.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("text").alias("text"), F.max("lang").alias("lang"))
     read = sentences(own, "doc_id", "text", F.col("lang"))
     ranked = vocabulary(sentences(documents, "doc_id", "text", F.col("lang")), reference_lang)
     reference = sentences(samples.filter(F.col("band").isin(*BANDS)), "sample_id", "text", F.lit(reference_lang))
-    likelihood = calibrate(measures(reference, ranked).join(samples.select(F.col("sample_id").alias("id"), "band"), "id"))
-    found = banded(measures(read, ranked), likelihood)
+    likelihood = calibrate(measures(reference, ranked, with_ranks).join(samples.select(F.col("sample_id").alias("id"), "band"), "id"))
+    found = banded(measures(read, ranked, with_ranks), likelihood)
     total = F.sum("n_words")
     shares = [F.sum(F.when(F.col("band") == b, F.col("n_words")).otherwise(0)) for b in BANDS]
-    each = found.groupBy("id").agg(total.alias("n_words"), *[s.alias(f"w{b}") for b, s in zip(BANDS, shares)], F.flatten(F.collect_list("ranks")).alias("ranks"))
+    gathered = [F.flatten(F.collect_list("ranks")).alias("ranks")] if with_ranks else []
+    each = found.groupBy("id").agg(total.alias("n_words"), *[s.alias(f"w{b}") for b, s in zip(BANDS, shares)], *gathered)
+    at = F.element_at(F.array_sort("ranks"), F.ceil(F.lit(DOCUMENT_SHARE) * F.size("ranks")).cast("int"))
+    coverage = [F.floor(at / 16).cast("int").alias("coverage_rank")] if with_ranks else []
     most = F.greatest(*[F.col(f"w{b}") for b in BANDS])
     each = each.select(
         F.col("id").alias("doc_id"), "n_words",
         F.coalesce(*[F.when(F.col(f"w{b}") == most, F.lit(b)) for b in BANDS]).alias("band"),
-        F.floor(F.element_at(F.array_sort("ranks"), F.ceil(F.lit(DOCUMENT_SHARE) * F.size("ranks")).cast("int")) / 16).cast("int").alias("coverage_rank"),
+        *coverage,
         *[F.round(F.col(f"w{b}") / F.col("n_words"), 4).alias(f"share_{b}") for b in BANDS],
     )
     return own.select("doc_id", "lang").join(each, "doc_id", "left")

@@ -14,7 +14,8 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_levels(spark, sf_dir).filter((F.col("lang") == "en") & (F.col("band") == 4)).select("doc_id").distinct()
+    found = levels(load(spark, sf_dir, "documents"), load(spark, sf_dir, "reading_samples"), with_ranks=False)
+    return found.filter((F.col("lang") == "en") & (F.col("band") == 4)).select("doc_id").distinct()
 
 
 def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +26,8 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Given bands against those that readers gave."""
     labels = load(spark, sf_dir, "reading_labels").groupBy("doc_id").agg(F.round(F.avg("band")).cast("int").alias("reader_band"))
-    return p8_levels(spark, sf_dir).join(labels, "doc_id").groupBy("reader_band", "band").count().withColumnRenamed("count", "n_documents")
+    found = levels(load(spark, sf_dir, "documents"), load(spark, sf_dir, "reading_samples"), with_ranks=False)
+    return found.join(labels, "doc_id").groupBy("reader_band", "band").count().withColumnRenamed("count", "n_documents")
 
 
 QUERIES = {"p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile, "p8_validation": p8_validation}
