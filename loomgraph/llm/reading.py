@@ -9,7 +9,7 @@ each bucket occurs in sentences of each band is counted over the reference texts
 band that explains its buckets best. A document's band is the one with most of its words.
 
 A bucket of ranks begins, in any list, where the reference language's list has covered as much of its words, so
-lists of unequal length share a scale. Every word has its own rank. Only the ``RANKED`` most frequent of a list are
+lists of unequal length share a scale. Every word has its own rank. At most ``RANKED`` words, the most frequent of the lists, are
 broadcast; if there are more, rarer words find theirs by a shuffle. Bands need a word's bucket only, so words of a list's last
 bucket are not looked up for them.
 
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.sources.tables import cut
 
-RANKED = 1 << 14
+#: At most so many words are broadcast, an equal number of the most frequent of each list.
+RANKED = 1 << 18
 SHARES = (0.5, 0.8)
 BANDS = (1, 2, 3, 4)
 #: Share of a document's words whose vocabulary size is reported.
@@ -87,12 +88,13 @@ def measures(sentences: DataFrame, ranked: DataFrame, with_ranks: bool = True) -
 
     Without ``with_ranks`` only the steps are asked for: words of their list's last step, known or not, need no rank and are not joined.
     """
-    tops = F.broadcast(ranked.groupBy("list").agg(F.max("step").alias("top")))  # a row a language
+    lists = ranked.groupBy("list").agg(F.max("step").alias("top"))  # a row a language
+    most, tops = RANKED // max(1, lists.count()), F.broadcast(lists)
     words = sentences.join(tops, "list", "left").select("id", "list", "sentence", F.coalesce("top", F.lit(LAST)).alias("top"), F.explode("words").alias("word"))
     keyed = ranked.join(tops, "list").filter(F.lit(with_ranks) | (F.col("step") < F.col("top"))).select("list", "word", (F.col("rank") * 16 + F.col("step")).alias("code"))
-    top = F.broadcast(keyed.filter(F.col("code") < 16 * (RANKED + 1)))
+    top = F.broadcast(keyed.filter(F.col("code") < 16 * (most + 1)))
     placed = words.join(top, ["list", "word"], "left")
-    rare = keyed.filter(F.col("code") >= 16 * (RANKED + 1))
+    rare = keyed.filter(F.col("code") >= 16 * (most + 1))
     if not rare.isEmpty():
         placed = placed.filter(F.col("code").isNotNull()).unionByName(placed.filter(F.col("code").isNull()).drop("code").join(rare, ["list", "word"], "left"))
     # words of no document, which only reference texts have, count as rarer than any
