@@ -1,11 +1,12 @@
 """Edits of sources: overlaps, fix plans, application. Offsets count characters, ranges are half-open.
 
-Which edits stay depends on those kept before, so a file's edits are folded in one task, in Arrow batches;
-a group is one file's edits.
+Which edits stay depends on those kept before, so a file's edits are read in order by one task, in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,39 +14,39 @@ from pyspark.sql import functions as F
 EDITS = "file string, start int, end int, text string"
 
 
-def _kept(rows: pd.DataFrame) -> pd.Series:
-    kept, last = [], -1
-    empty_at = -1
-    for a, b in zip(rows.start, rows.end):
-        ok = a >= last and not (a == b == empty_at)
-        kept.append(ok)
-        if ok:
-            last, empty_at = max(last, b), a if a == b else -1
-    return pd.Series(kept, index=rows.index)
-
-
-def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.drop_duplicates(["start", "end", "text"]).sort_values(["start", "end", "text"], kind="stable")
+def plan(edits: DataFrame) -> DataFrame:
+    """Every distinct edit with ``conflict``: whether it overlaps one accepted before it, in order of (start, end, text).
+
+    A partition's edits are sorted and read once, with the file at hand and the end of its last accepted edit as state, so a file
+    is never gathered. Edits without a start or end are left out.
+    """
+    known = edits.select("file", "start", "end", "text").filter(F.col("start").isNotNull() & F.col("end").isNotNull())
+    ordered = known.repartition("file").sortWithinPartitions("file", "start", "end", "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: object = run  # no file is this
+        last = empty = -1
+        before: tuple | None = None
+        for pdf in batches:
+            new, conflict = [], []
+            for row in zip(pdf.file, pdf.start, pdf.end, pdf.text):
+                file, a, b, _ = row
+                if file != at:
+                    at, last, empty = file, -1, -1
+                new.append(row != before)
+                before = row
+                ok = a >= last and not a == b == empty
+                if new[-1] and ok:
+                    last, empty = max(last, b), a if a == b else -1
+                conflict.append(not ok)
+            yield pdf.assign(conflict=conflict)[new]
+
+    return ordered.mapInPandas(run, EDITS + ", conflict boolean")
 
 
 def without_overlaps(edits: DataFrame) -> DataFrame:
     """Edits in order of (start, end, text), repeats once, those dropped that overlap the last one kept."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = _ordered(rows)
-        return rows[_kept(rows)]
-
-    return edits.select("file", "start", "end", "text").groupBy("file").applyInPandas(run, EDITS)
-
-
-def plan(edits: DataFrame) -> DataFrame:
-    """Every distinct edit with ``conflict``: whether it overlaps one accepted before it."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = _ordered(rows)
-        return rows.assign(conflict=~_kept(rows))
-
-    return edits.select("file", "start", "end", "text").groupBy("file").applyInPandas(run, EDITS + ", conflict boolean")
+    return plan(edits).filter(~F.col("conflict")).drop("conflict")
 
 
 def apply(sources: DataFrame, edits: DataFrame) -> DataFrame:
