@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import edits, export, graph, rules, skew, summary
+from loomgraph.operators import edits, export, fixes, graph, rules, skew, summary
 from loomgraph.plans import graph_queries as G
 from loomgraph.plans import lookup_queries as L
 from loomgraph.plans.fact_queries import _CALL, _F, _S, _one, call_edges, files, newest_files, symbols
-from loomgraph.sources import reports, workspace
+from loomgraph.sources import cache, reports, workspace
 from loomgraph.sources.tables import checkpoint_dir, cut, load
 from loomgraph.streaming import versions
 
@@ -237,7 +237,27 @@ def value_percentiles(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+def fixed_interfaces(spark, sf_dir):
+    return fixes.interfaces_to_types(symbols(spark, sf_dir).filter("kind = 'interface' and name is not null"), newest_files(spark, sf_dir))
+
+
+def fixed_exports(spark, sf_dir):
+    """Edits that take export off every function and class that has it on its line."""
+    return fixes.without_export(symbols(spark, sf_dir).filter("kind in ('function', 'class') and name is not null"), newest_files(spark, sf_dir))
+
+
+def warm_cache(spark, sf_dir):
+    """Facts kept by a run over first versions, restored for the newest: symbols of the files that didn't change."""
+    root = f"{checkpoint_dir(spark)}/cache-{uuid.uuid4().hex}"
+    env = cache.environment(tool="facts", level=1)
+    own = symbols(spark, sf_dir).select("file", "id")
+    cache.persist({"symbols": own}, store(spark, sf_dir, "version = 1"), root, env)
+    newest = newest_files(spark, sf_dir).select("file", T.revision(F.col("source")).alias("revision"))
+    return cache.restore(spark, newest, root, env, ["symbols"])[0]["symbols"]
+
+
 QUERIES = {
+    "sk_fixed_interfaces": fixed_interfaces, "sk_fixed_exports": fixed_exports, "sk_warm_cache": warm_cache,
     "wn_edit_plan": lambda s, d: edits.plan(renames(s, d)), "wn_kept_edits": lambda s, d: edits.without_overlaps(renames(s, d)), "sk_edited_sources": edited, "sk_plan_ids": lambda s, d: edits.plan_id(renames(s, d)),
     "sc_eslint": eslint_report, "sc_ruff": ruff_report, "sc_biome": biome_report, "sc_vulture": vulture_report, "fn_severity": severities, "ag_scorecard": scorecard,
     "ag_architecture": architecture, "gr_impact_result": impact, "ag_hover_profiles": hover, "gr_call_graph": call_graph, "gr_longest_path": longest_path, "gr_dependency_order": dependency_order, "st_cycle_diff": cycle_changes, "gr_nodes": graph_nodes,
@@ -258,7 +278,11 @@ _DIR = "f AS (SELECT DISTINCT file_path AS file, regexp_extract(file_path, '^(/w
 _SCORED = " + ".join(f"greatest({_one('name', t)}, {_one('file', t)})" for t in ("budget", "core"))
 _SCORED_FILE = " + ".join(_one("file", t) for t in ("budget", "core"))
 _PCT = "SELECT '{t}' AS table_name, {k} AS key_value, quantile_cont({v}, 0.25) AS p25, quantile_cont({v}, 0.5) AS p50, quantile_cont({v}, 0.99) AS p99 FROM {t} WHERE {k} IS NOT NULL GROUP BY {k}"
+_CODE = f"{_S}, {_F}, k AS (SELECT DISTINCT sy.file, kind, name, \"range\".\"start\" AS a, substring(source, \"range\".\"start\" + 1, \"range\".\"end\" - \"range\".\"start\") AS code, list_last(string_split(left(source, \"range\".\"start\"), chr(10))) AS before FROM sy JOIN f ON f.file = sy.file WHERE name IS NOT NULL)"
 SQL = {
+    "sk_fixed_interfaces": f"WITH {_CODE}, h AS (SELECT file, a, regexp_extract(code, '(?s)^(interface\\b[^{{]*)\\{{', 1) AS head FROM k WHERE kind = 'interface'), g AS (SELECT * FROM h WHERE head <> '' AND NOT regexp_matches(head, '\\bextends\\b')) SELECT file, a AS \"start\", a + 9 AS \"end\", 'type' AS \"text\" FROM g UNION ALL SELECT file, (a + len(head))::INT, (a + len(head))::INT, '= ' FROM g",
+    "sk_fixed_exports": f"WITH {_CODE}, m AS (SELECT file, a, regexp_extract(before, '(export\\s+)((?:declare\\s+|abstract\\s+|async\\s+|const\\s+|let\\s+|var\\s+)*)$', 1) AS mark, regexp_extract(before, '(export\\s+)((?:declare\\s+|abstract\\s+|async\\s+|const\\s+|let\\s+|var\\s+)*)$', 2) AS rest FROM k WHERE kind IN ('function', 'class')) SELECT DISTINCT file, (a - len(rest) - len(mark))::INT AS \"start\", (a - len(rest))::INT AS \"end\", '' AS \"text\" FROM m WHERE mark <> ''",
+    "sk_warm_cache": f"WITH {_S}, {_F} SELECT sy.file, sy.id FROM sy JOIN f ON f.file = sy.file WHERE EXISTS (SELECT 1 FROM check_contexts c WHERE c.version = 1 AND c.file_path = f.file AND substr(sha256(c.source), 1, 16) = substr(sha256(f.source), 1, 16))",
     "wn_edit_plan": f"WITH RECURSIVE {_KEPT} SELECT file, a AS \"start\", z AS \"end\", \"text\", NOT kept AS conflict FROM k",
     "wn_kept_edits": f"WITH RECURSIVE {_KEPT} SELECT file, a AS \"start\", z AS \"end\", \"text\" FROM k WHERE kept",
     "sk_edited_sources": f"WITH RECURSIVE {_KEPT}, {_F}, p AS (SELECT k.file, k.a, k.z, k.\"text\", lead(k.a) OVER (PARTITION BY k.file ORDER BY k.a) AS nxt, row_number() OVER (PARTITION BY k.file ORDER BY k.a) AS i FROM k WHERE kept), q AS (SELECT f.file, f.source, string_agg(p.\"text\" || substring(source, p.z + 1, coalesce(nxt, len(source)) - p.z), '' ORDER BY i) AS rest, min(p.a) AS a0 FROM f LEFT JOIN p ON p.file = f.file GROUP BY f.file, f.source), t AS (SELECT file, CASE WHEN rest IS NULL THEN source ELSE left(source, a0) || rest END AS done FROM q) SELECT file, len(done)::INT AS size, substr(sha256(done), 1, 16) AS revision FROM t",
