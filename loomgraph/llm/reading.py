@@ -51,21 +51,32 @@ _NOT_PROSE = [
 SENTENCE_END = r"(?=[.!?:;\n])(?:[.!?:;]++(?:\s+|$)|\n\s*\n|\n\s*[-*>])"
 
 
-def sentences(documents: DataFrame, id_column: str, text_column: str, language: Column) -> DataFrame:
-    """``id, list, sentence, words`` of the prose of each text; ``list`` names the vocabulary, WHOLE if the language is null."""
+def _prose(text_column: str) -> Column:
+    """The text in small letters without code, tables, traces and links."""
     prose = F.col(text_column)
     for pattern, by, signs in _NOT_PROSE:
         prose = F.when(reduce(lambda a, b: a | b, [F.col(text_column).contains(s) for s in signs]), F.regexp_replace(prose, pattern, by)).otherwise(prose)
-    found = F.filter(
-        F.transform(F.split(F.lower(prose), SENTENCE_END), lambda s: F.regexp_extract_all(s, F.lit(r"[a-zäöüß]++(?:'[a-z]++)?"), F.lit(0))),
-        lambda w: F.size(w) >= LEAST_WORDS,
-    )
+    return F.lower(prose)
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"[a-zäöüß]++(?:'[a-z]++)?"), F.lit(0))
+
+
+def prose_words(documents: DataFrame, text_column: str, language: Column) -> DataFrame:
+    """``list, words``: all words of the prose of each text, sentences not told apart."""
+    return documents.select(F.coalesce(language, F.lit(WHOLE)).alias("list"), _words(_prose(text_column)).alias("words"))
+
+
+def sentences(documents: DataFrame, id_column: str, text_column: str, language: Column) -> DataFrame:
+    """``id, list, sentence, words`` of the prose of each text; ``list`` names the vocabulary, WHOLE if the language is null."""
+    found = F.filter(F.transform(F.split(_prose(text_column), SENTENCE_END), _words), lambda w: F.size(w) >= LEAST_WORDS)
     return documents.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.coalesce(language, F.lit(WHOLE)).alias("list"), F.posexplode(found).alias("sentence", "words"))
 
 
-def vocabulary(sentences: DataFrame, reference: str) -> DataFrame:
+def vocabulary(words: DataFrame, reference: str) -> DataFrame:
     """``list, word, rank, step`` of every word; ties by the alphabet. The step is the rank's bucket on the scale of the reference list."""
-    counts = sentences.select("list", F.explode("words").alias("word")).groupBy("list", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = words.select("list", F.explode("words").alias("word")).groupBy("list", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = cut(counts)
     whole = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(WHOLE).alias("list"), "word", "n")
     by = Window.partitionBy("list").orderBy(F.desc("n"), "word")
@@ -129,7 +140,7 @@ def levels(documents: DataFrame, samples: DataFrame, reference_lang: str = "en",
     """``doc_id, lang, band, coverage_rank, n_words, share_1..share_4`` of every document; ``coverage_rank`` only ``with_ranks``, the rest is the same without."""
     own = documents.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("text").alias("text"), F.max("lang").alias("lang"))
     read = sentences(own, "doc_id", "text", F.col("lang"))
-    ranked = vocabulary(sentences(documents, "doc_id", "text", F.col("lang")), reference_lang)
+    ranked = vocabulary(prose_words(documents.filter(F.col("doc_id").isNotNull()), "text", F.col("lang")), reference_lang)
     reference = sentences(samples.filter(F.col("band").isin(*BANDS)), "sample_id", "text", F.lit(reference_lang))
     likelihood = calibrate(measures(reference, ranked, with_ranks).join(samples.select(F.col("sample_id").alias("id"), "band"), "id"))
     found = banded(measures(read, ranked, with_ranks), likelihood)
