@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loomgraph.sources.tables import cut
 
 EXPORTED = 1
+#: Owners and targets of a piece of the pairs that structural matching makes; each is repeated for the pieces across.
+SIDE = 1024
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -169,23 +171,47 @@ def structural_matches(shapes: DataFrame, declared: DataFrame) -> DataFrame:
     ``shapes``: owner, kind (class or interface), truncated, members of name, member_kind, param_arity, is_optional,
     is_static. Required members must be there by name, kind and staticness with at least the arity; a target with
     members that are all optional matches every class. Truncated shapes, owners themselves and ``declared`` pairs are out.
+
+    Owners of the same members and targets of the same needs are matched once. Pairs are made by the last join, in pieces of
+    at most ``SIDE`` owners and targets, and aren't shuffled; what is asked of ``owner`` or ``target`` after is asked before it.
     """
-    whole = shapes.filter(~F.col("truncated"))
-    m = whole.select("owner", "kind", F.explode("members").alias("m")).select("owner", "kind", "m.*")
     by = ["name", "member_kind", "is_static"]
-    has = cut(m.filter(F.col("kind") == "class").groupBy("owner", *by).agg(F.max(F.coalesce("param_arity", F.lit(0))).alias("param_arity")))
-    need = cut(m.filter(~F.col("is_optional")).groupBy(F.col("owner").alias("target"), *by).agg(F.max(F.coalesce("param_arity", F.lit(0))).alias("least")))
-    counts = need.groupBy("target").agg(F.count(F.lit(1)).alias("n_needed"))
-    # only owners of a target's rarest member can match it, so a member that most have pairs nothing
+    member = F.struct(*by, F.col("param_arity").alias("arity"))
+    whole = cut(shapes.filter(~F.col("truncated")).select("owner", "kind", (F.size("members") > 0).alias("some"), F.explode_outer("members").alias("m")).select("owner", "kind", "some", "m.*"))
+
+    def gathered(rows: DataFrame, counts: Column, key: str) -> DataFrame:
+        """``owner, members`` of the rows that count, and a digest of them: many share one."""
+        one = rows.groupBy("owner", *by, counts.alias("counts")).agg(F.max(F.coalesce("param_arity", F.lit(0))).alias("param_arity"))
+        out = one.groupBy("owner").agg(F.array_sort(F.collect_list(F.when(F.col("counts"), member))).alias("members"))
+        return cut(out.withColumn(key, F.unhex(F.sha2(F.to_json("members"), 256))))
+
+    owners = gathered(whole.filter(F.col("kind") == "class"), F.col("name").isNotNull(), "shape")
+    targets = gathered(whole.filter("some"), F.coalesce(~F.col("is_optional"), F.lit(False)), "need")
+    of = owners.groupBy("shape").agg(F.first("members").alias("has"), F.count(F.lit(1)).alias("n_owners"))
+    to = targets.groupBy("need").agg(F.first("members").alias("asks"), F.count(F.lit(1)).alias("n_targets"))
+    has = of.select("shape", "has", F.explode("has").alias("m")).select("shape", "has", "m.*")
+    asks = to.select("need", "asks", F.explode("asks").alias("m")).select("need", "asks", "m.*")
+    # only shapes with a need's rarest member can meet it, so a member that most have pairs nothing
     common = has.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    rarest = need.join(common, by, "left").groupBy("target").agg(F.min_by(F.struct(*by, "least"), F.struct(F.coalesce("n", F.lit(0)), *by)).alias("r")).select("target", "r.*")
-    asked = rarest.join(has, by).filter(F.col("param_arity") >= F.col("least")).select("owner", "target")
-    met = asked.join(need, "target").join(has, ["owner", *by]).filter(F.col("param_arity") >= F.col("least"))
-    full = met.groupBy("owner", "target").agg(F.count(F.lit(1)).alias("n_met")).join(counts, "target").filter("n_met = n_needed").select("owner", "target")
-    free = whole.filter(F.size("members") > 0).select(F.col("owner").alias("target")).join(counts, "target", "left_anti")
-    classes = whole.filter(F.col("kind") == "class").select("owner")
-    anything = classes.join(free, F.lit(True))
-    return full.unionByName(anything).filter(F.col("owner") != F.col("target")).distinct().join(declared.select("owner", "target"), ["owner", "target"], "left_anti")
+    rarest = asks.join(common, by, "left").groupBy("need").agg(F.min_by(F.struct(*by, "asks"), F.struct(F.coalesce("n", F.lit(0)), *by)).alias("r")).select("need", "r.*")
+    met = F.forall("asks", lambda a: F.exists("has", lambda h: (h["name"] == a["name"]) & (h["member_kind"] == a["member_kind"]) & (h["is_static"] == a["is_static"]) & (h["arity"] >= a["arity"])))
+    free = to.filter(F.size("asks") == 0).select("need")
+    full = cut(rarest.join(has, by).filter(met).select("shape", "need").unionByName(of.select("shape").crossJoin(free)))
+
+    pieces = full.join(of.select("shape", "n_owners"), "shape").groupBy("need").agg(F.sum("n_owners").alias("n_owners")).join(to.select("need", "n_targets"), "need")
+    pieces = cut(pieces.select("need", F.monotonically_increasing_id().alias("k"), F.ceil(F.col("n_owners") / SIDE).alias("n_o"), F.ceil(F.col("n_targets") / SIDE).alias("n_t")))
+    piece = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    able = owners.select("owner", "shape").join(full.join(pieces, "need"), "shape").select("owner", "k", "n_o", "n_t")
+    asked = targets.select(F.col("owner").alias("target"), "need").join(pieces, "need").select("target", "k", "n_o", "n_t")
+    out = declared.select("owner", "target").distinct().join(asked.select("target", "k"), "target").groupBy("owner", "k").agg(F.collect_set("target").alias("out"))
+    able = able.join(out, ["owner", "k"], "left").select("owner", "out", "k", piece("owner", "n_o").alias("o"), every("n_t").alias("t"))
+    asked = asked.select("target", "k", every("n_o").alias("o"), piece("target", "n_t").alias("t"))
+    # so many tasks however little they read, for what they make is far more
+    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    able, asked = (side.repartition(tasks, "k", "o", "t") for side in (able, asked))
+    pairs = able.join(asked, ["k", "o", "t"])
+    return pairs.filter((F.col("owner") != F.col("target")) & ~F.coalesce(F.array_contains("out", F.col("target")), F.lit(False))).select("owner", "target")
 
 
 def merge_edges(structural: DataFrame, typed: DataFrame) -> DataFrame:

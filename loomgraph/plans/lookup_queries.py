@@ -49,12 +49,13 @@ def shapes(spark, sf_dir) -> DataFrame:
     """``owner, kind, truncated, members``: the methods of each scope by the first word of their name; scopes with one kind of word count as interfaces."""
     from loomgraph.functions.text import words_of
 
-    m = symbols(spark, sf_dir).filter("kind = 'method' and name is not null and scope_id is not null").select(F.col("scope_id").alias("owner"), F.get(words_of(F.col("name")), F.lit(0)).alias("word")).filter("word is not null").distinct()
+    kept = relations.latest(load(spark, sf_dir, "symbols").select("id", "ingested_at", "kind", "name", "scope_id"), ["id"], [F.col("ingested_at")])
+    m = kept.filter("kind = 'method' and name is not null and scope_id is not null").select(F.col("scope_id").alias("owner"), F.get(words_of(F.col("name")), F.lit(0)).alias("word")).filter("word is not null").distinct()
     member = F.struct(F.col("word").alias("name"), F.lit("method").alias("member_kind"), F.lit(0).alias("param_arity"), F.lit(False).alias("is_optional"), F.lit(False).alias("is_static"))
     by = m.groupBy("owner").agg(F.array_sort(F.collect_list(member)).alias("members"))
-    return by.select("owner", F.lit("class").alias("kind"), F.lit(False).alias("truncated"), "members").unionByName(
-        by.filter(F.size("members") <= 2).select(F.concat(F.lit("I"), "owner").alias("owner"), F.lit("interface").alias("kind"), F.lit(False).alias("truncated"), "members")
-    )
+    own = F.struct("owner", F.lit("class").alias("kind"))
+    both = F.array(own, F.struct(F.concat(F.lit("I"), "owner").alias("owner"), F.lit("interface").alias("kind")))
+    return by.select(F.explode(F.when(F.size("members") <= 2, both).otherwise(F.array(own))).alias("o"), "members").select("o.owner", "o.kind", F.lit(False).alias("truncated"), "members")
 
 
 def flows(spark, sf_dir) -> DataFrame:

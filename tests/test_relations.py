@@ -45,6 +45,55 @@ def test_structural_matches(spark):
     assert got(spark.createDataFrame([("C", "I")], "owner string, target string")) == [("C", "O"), ("D", "O")]
 
 
+def shuffled_rows(spark, run) -> int:
+    """Rows that the stages of ``run`` write to shuffles."""
+    sc = spark.sparkContext
+    store, bus, quantiles = sc._jsc.sc().statusStore(), sc._jsc.sc().listenerBus(), sc._gateway.new_array(sc._jvm.double, 0)
+
+    def written():
+        bus.waitUntilEmpty()
+        return {s.stageId(): s.shuffleWriteRecords() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, quantiles, None))}
+
+    # as for tables that are too large to broadcast
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    kept = {key: spark.conf.get(key) for key in plain}
+    before = max(written(), default=-1)
+    try:
+        for key, value in plain.items():
+            spark.conf.set(key, value)
+        run()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    return sum(n for stage, n in written().items() if stage > before)
+
+
+SHAPES = "owner string, kind string, truncated boolean, members array<struct<name:string,member_kind:string,param_arity:int,is_optional:boolean,is_static:boolean>>"
+
+
+def test_structural_matches_are_made_without_shuffling_them(spark):
+    run = [("run", "method", 0, False, False)]
+    shapes = spark.createDataFrame([(f"c{k}", "class", False, run) for k in range(300)] + [(f"i{k}", "interface", False, run) for k in range(300)], SHAPES)
+    none, got = spark.createDataFrame([], "owner string, target string"), []
+    assert shuffled_rows(spark, lambda: got.append(relations.structural_matches(shapes, none).count())) < 300 * 599 / 10
+    assert got == [300 * 599]
+
+
+def test_structural_matches_in_many_pieces(spark, monkeypatch):
+    monkeypatch.setattr(relations, "SIDE", 3)
+    a, b, option = ("a", "method", 1, False, False), ("b", "method", None, False, True), ("z", "method", 0, True, False)
+    kinds = {"A": [a], "B": [b], "AB": [b, a], "O": [option], "N": []}
+    shapes = [(f"{n}{k}", "class", False, kinds[n]) for n in kinds for k in range(10)] + [(f"I{n}{k}", "interface", False, kinds[n]) for n in kinds for k in range(8)] + [("A0", "interface", False, [a])]
+    needs = {"A": {"a"}, "B": {"b"}, "AB": {"a", "b"}, "O": set()}
+    have = {"A": {"a"}, "B": {"b"}, "AB": {"a", "b"}, "O": set(), "N": set()}
+    of = lambda o: o.rstrip("0123456789").lstrip("I")
+    owners, targets = [s[0] for s in shapes if s[1] == "class"], {s[0] for s in shapes if s[3]}
+    declared = [(o, t) for o in owners for t in targets if (len(o) + int(o[-1]) + int(t[-1])) % 4 == 0] + [("A0", "none"), ("none", "A0")]
+    wanted = sorted((o, t) for o in owners for t in targets if o != t and needs[of(t)] <= have[of(o)] and (o, t) not in set(declared))
+    got = relations.structural_matches(spark.createDataFrame(shapes, SHAPES), spark.createDataFrame(declared * 2, "owner string, target string"))
+    assert sorted((r["owner"], r["target"]) for r in got.collect()) == wanted
+
+
 def test_package_of_takes_the_longest_folder(spark):
     files = spark.createDataFrame([("/w/p/q/a.ts",), ("/w/p/b.ts",), ("/z/c.ts",)], "file string")
     packs = spark.createDataFrame([("/w/p", "p"), ("/w/p/q", "q")], "dir string, package string")
