@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import graph, relations, resolve, rules
 from loomgraph.plans import lookup_queries as L
 from loomgraph.plans.fact_queries import _CALL, _S, _SC, bindings, call_edges, files, newest_files, scopes, symbols
-from loomgraph.sources.tables import load
+from loomgraph.sources.tables import cut, load
 
 
 def _file(letter: str, c: str):
@@ -137,8 +137,9 @@ def script_modules(spark, sf_dir):
 
 
 def undeclared(spark, sf_dir):
-    m = relations.structural_matches(L.shapes(spark, sf_dir), spark.createDataFrame([], "owner string, target string"))
-    kinds = L.shapes(spark, sf_dir).select(F.col("owner").alias("id"), "kind")
+    shapes = cut(L.shapes(spark, sf_dir))
+    m = relations.structural_matches(shapes, spark.createDataFrame([], "owner string, target string"))
+    kinds = shapes.select(F.col("owner").alias("id"), "kind")
     return rules.no_undeclared_implementer(m, kinds).select("rule_id", "file", "message")
 
 

@@ -79,6 +79,17 @@ def test_structural_matches_are_made_without_shuffling_them(spark):
     assert got == [300 * 599]
 
 
+def test_undeclared_implementers_are_told_without_shuffling_matches(spark, tmp_path):
+    from loomgraph.plans.resolve_queries import QUERIES
+
+    # 200 scopes with a method of one word each: classes and interfaces of one member, read once
+    rows = [(f"s{k}", "method", "runIt", f"c{k}", "2024-01-01") for k in range(200)]
+    spark.createDataFrame(rows, "id string, kind string, name string, scope_id string, ingested_at string").write.parquet(f"{tmp_path}/symbols.parquet")
+    got = []
+    assert shuffled_rows(spark, lambda: got.append(QUERIES["ru_undeclared_implementer"](spark, str(tmp_path)).select("message").collect())) < 200 * 200 / 2
+    assert len(got[0]) == 200 * 200 and got[0][0]["message"].startswith("implements Ic")
+
+
 def test_structural_matches_in_many_pieces(spark, monkeypatch):
     monkeypatch.setattr(relations, "SIDE", 3)
     a, b, option = ("a", "method", 1, False, False), ("b", "method", None, False, True), ("z", "method", 0, True, False)
