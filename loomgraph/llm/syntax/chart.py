@@ -13,8 +13,8 @@ an input is derived (2), might begin a derived one (1) or can't (0).
 ``repair`` is the error-correcting chart: inserting, deleting and replacing a symbol cost 1 each, and the
 least cost at which the input is derived is found, without a bound. One edit is looked for by
 continuing the shared columns behind it, from the place where the chart dies backwards; if none does, a table over
-all spans holds the least cost of every dotted rule. That table grows with the cube of the phrase; phrases of over
-``SPAN_SYMBOLS`` symbols take the cheapest of a chain of single edits instead, an upper bound.
+all spans holds the least cost of every dotted rule that has read something and has more to read. The table is exact at
+any length; it holds a row for every span, so its room grows with the square of the phrase and its time with the cube.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import re
 import numpy as np
 
 DEAD, PREFIX, WHOLE = 0, 1, 2
-#: The longest phrase whose spans are all tabled.
+#: What tests take for a long phrase; no result depends on it.
 SPAN_SYMBOLS = 96
 FAR = 20_000
 
@@ -220,7 +220,7 @@ class Grammar:
             elif not exact:
                 cost = 2
             else:
-                cost = self._least(start, text) if len(text) <= SPAN_SYMBOLS else self._chain(start, text)
+                cost = self._least(start, text)
             self.repaired[key] = cost
         return self.repaired[key]
 
@@ -258,28 +258,6 @@ class Grammar:
                     furthest = (now, at)
         return False, *furthest
 
-    def _chain(self, start: str, text: str) -> int:
-        """The edits of a chain of single ones, each the one after which most can be read: an upper bound."""
-        number, edits = self.number[start], 1
-        _, now, at = self.within_one(start, text)
-        while at < len(text):
-            # what stands here is left out, read as any symbol, or has any symbol put before it
-            node, base = now[-1], (len(now) - 1) * self.states + 1
-            after = dict.fromkeys([item + 1 for s, items in node[1].items() if s.__class__ is not int for item in items] + [base + k for s, states in node[4].items() if s.__class__ is not int for k in states])
-            best: tuple[int, list] = (at, now)
-            for column, begin in ((after, at), (after, at + 1), (None, at + 1)):
-                path = list(now) if column is None else [*now, self._advance(now, dict(column), number)]
-                for char in text[begin:]:
-                    items = self._read(path, char)
-                    if not items:
-                        break
-                    path.append(self._advance(path, items, number))
-                    begin += 1
-                if begin > best[0]:
-                    best = (begin, path)
-            (at, now), edits = best, edits + 1
-        return edits + (0 if now[-1][2] else 1)
-
     def _tables(self) -> tuple:
         """Rules as arrays: symbols are nonterminals, then terminals."""
         if self.table is None:
@@ -304,32 +282,35 @@ class Grammar:
         """The least cost, from a table of the costs at which each dotted rule derives each span; spans of a length are filled together."""
         names, steps, awaited, ends, first, inserted, begun = self._tables()
         n, nonterminals = len(text), len(self.starts)
-        symbols = nonterminals + len(names)
-        cost = np.full((n + 1, n + 1, symbols), FAR, np.int16)  # begin, end, symbol
-        dotted = np.full((n + 1, n + 1, self.states), FAR, np.int16)
-        at = np.arange(n + 1)
-        cost[at, at], dotted[at, at] = inserted, begun
+        if not n:
+            return int(inserted[self.number[start]])
+        symbols, kind = nonterminals + len(names), np.int16 if n < FAR // 2 else np.int32
         matched = np.zeros((n, symbols), bool)
         for k, char in enumerate(text):
             matched[k, [names[t] for t in self.matches(char) if t in names]] = True
+        # only a rule that has read something and awaits more is put together from two spans
+        inner = np.setdiff1d(steps, [s for starts in self.starts for s in starts])
+        asked = awaited[np.searchsorted(steps, inner)]
+        # left[begin][length - 1] is the cost of what inner states have read, right[end][begin] that of what they await
+        left = [np.empty((n - k, len(inner)), kind) for k in range(n)]
+        right = [np.empty((end, len(inner)), kind) for end in range(n + 1)]
         held = matched.copy()
         for length in range(1, n + 1):
-            rows = np.arange(n - length + 1)
             if length > 1:
                 held = held[:-1] | matched[length - 1 :]
             # a terminal is one of the span's symbols or replaces one; the others are left out
-            span = np.full((len(rows), symbols), length, np.int16) + inserted
+            span = np.full((n - length + 1, symbols), length, kind) + inserted
             span[:, nonterminals:] = length - held[:, nonterminals:]
-            made = np.full((len(rows), self.states), FAR, np.int16)
-            for k in range(1, length):
-                np.minimum(made[:, steps + 1], dotted[rows, rows + k][:, steps] + cost[rows + k, rows + length][:, awaited], out=(part := made[:, steps + 1]))
-                made[:, steps + 1] = part
-            made = np.minimum(made, FAR)
+            made = np.full((n - length + 1, self.states), FAR, kind)
+            if length > 1:
+                for k in range(n - length + 1):
+                    made[k, inner + 1] = (left[k][: length - 1] + right[k + length][k + 1 :]).min(axis=0, initial=FAR)
             while True:
                 new = np.minimum(made[:, steps + 1], np.minimum(begun[steps] + span[:, awaited], made[:, steps] + inserted[awaited]))
                 if (new == made[:, steps + 1]).all():
                     break
                 made[:, steps + 1] = new
                 span[:, :nonterminals] = np.minimum(span[:, :nonterminals], np.minimum.reduceat(made[:, ends], first, axis=1))
-            cost[rows, rows + length], dotted[rows, rows + length] = span, made
-        return int(cost[0, n, self.number[start]]) if n else int(inserted[self.number[start]])
+            for k in range(n - length + 1):
+                left[k][length - 1], right[k + length][k] = made[k, inner], span[k, asked]
+        return int(span[0, self.number[start]])

@@ -207,6 +207,19 @@ def test_long_phrases_take_an_upper_bound_that_is_never_nothing():
         assert g.repair("S", text) >= -(-unmatched // 2)
 
 
+def test_least_repair_is_exact_at_any_length():
+    """Of brackets that nothing matches, one edit mends two of a kind."""
+    from loomgraph.llm.syntax.chart import SPAN_SYMBOLS, Grammar
+
+    g, rng = Grammar("S: ( S ) S | _\n", lambda c: {c}), random.Random(5)
+    texts = ["(" + ")" * (SPAN_SYMBOLS + 6), "()" * SPAN_SYMBOLS + ")" * 3 + "(" * 3] + ["".join(rng.choices("()", k=n)) for n in (SPAN_SYMBOLS - 1, SPAN_SYMBOLS, SPAN_SYMBOLS + 1, 2 * SPAN_SYMBOLS)]
+    for text in texts:
+        opened = closed = 0
+        for c in text:
+            opened, closed = (opened + 1, closed) if c == "(" else (opened - 1, closed) if opened else (0, closed + 1)
+        assert g.repair("S", text) == -(-opened // 2) + -(-closed // 2), text
+
+
 def test_on_dataframes(spark):
     rows = [(1, "a.py", "x = 1", 0), (2, "a.py", "x =", 0), (3, None, "x =", 0), (4, "a.ts", None, 0), (5, "b.js", "", 0), (6, "b.js", "a;" * 20000, 0), (7, "b.js", "(" * 300, 0)]
     df = spark.createDataFrame(rows, "context_id long, file_path string, source string, cost int")
